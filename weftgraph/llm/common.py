@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.plans.scratch import drop_dir, materialize, release, shared_dir  # noqa: F401
@@ -71,3 +72,31 @@ def row_key(*cols: str | Column) -> Column:
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """True for rows of fold 0: crc32 of the id as text, modulo folds. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == 0
+
+
+def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]], new: dict[str, tuple[str, object]], *, drop_text: bool = False, rows: int = 512) -> DataFrame:
+    """df with new columns computed from one column of texts, `rows` rows at a time, by Arrow batches.
+
+    make() runs once for each task and returns a function from a list of texts (None for null) to one list for each new
+    column. All other columns pass through untouched; existing columns of the new names are replaced. new: name -> (Spark
+    type, Arrow type); `text` itself may be one of the names.
+    """
+    names = [c for c in df.columns if (c not in new or c == text) and not (drop_text and c == text)]
+    source = df.select(*[F.col(f"`{c}`") for c in names if c != text], F.col(f"`{text}`").cast("string").alias("__weft_text"))
+    fields = []
+    for c in names:
+        fields.append((c, new[c][0] if c in new else "string" if c == text else df.schema[c].dataType.simpleString()))
+    fields += [(c, t) for c, (t, _) in new.items() if c not in names]
+    order = [c for c, _ in fields]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for whole in batches:
+            for k in range(0, whole.num_rows, rows):
+                batch = whole.slice(k, rows)
+                texts = batch.column("__weft_text")
+                made = dict(zip(new, fn(texts.to_pylist()), strict=True))
+                arrays = [pa.array(made[c], new[c][1]) if c in made else texts if c == text else batch.column(c) for c in order]
+                yield pa.RecordBatch.from_arrays(arrays, names=order)
+
+    return source.mapInArrow(go, ", ".join(f"`{c}` {t}" for c, t in fields))

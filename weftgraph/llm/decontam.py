@@ -18,13 +18,15 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import row_key
+from weftgraph.llm.common import map_texts, row_key
 
 ERROR_RATE, MIN_CHARS, BLOCK_CHARS = 0.05, 40, 4_000_000
+_HIT_TYPE = "array<struct<item_id:long,distance:int,start:int,end:int>>"
+_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 MATCH = "doc_id long, item_id long, distance int, start int, end int"
 _OTHER = re.compile(r"[\W_]+")
 
@@ -145,19 +147,19 @@ def find_leaks(
     found = spark.createDataFrame([], f"{MATCH}, rk binary")
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        found = found.unionByName(body.mapInPandas(_search(spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part]), error_rate, min_chars), f"{MATCH}, rk binary"))
+        search = _search(spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part]), error_rate, min_chars)
+        hits = map_texts(body, "text", search, {"m": (_HIT_TYPE, _HITS)}, drop_text=True).select("doc_id", "rk", F.explode("m").alias("m"))
+        found = found.unionByName(hits.select("doc_id", "m.item_id", "m.distance", "m.start", "m.end", "rk"))
     return found
 
 
 def _search(items, error_rate: float, min_chars: int):
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         matcher = Matcher(items.value, error_rate, min_chars)
-        for pdf in batches:
-            rows = [(doc, *m, rk) for doc, text, rk in zip(pdf["doc_id"].astype("Int64"), pdf["text"], pdf["rk"], strict=True) for m in matcher.matches(text)]
-            out = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "start", "end", "rk"], dtype=object)
-            yield out.astype({"doc_id": "Int64", "item_id": "Int64", "distance": "Int32", "start": "Int32", "end": "Int32"})
+        names = ("item_id", "distance", "start", "end")
+        return lambda texts: [[[dict(zip(names, m, strict=True)) for m in matcher.matches(t)] for t in texts]]
 
-    return go
+    return make
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,15 +16,14 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from weftgraph.llm.common import U64, word_hashes
+from weftgraph.llm.common import U64, map_texts, word_hashes
 
 PATH_DIMS, WORD_DIMS, HIDDEN = 160, 32, 14
 INPUT = PATH_DIMS + WORD_DIMS + 3
@@ -357,18 +356,15 @@ def default_model() -> BiLSTM:
 def extract(pages: DataFrame, model: BiLSTM | None = None, threshold: float = 0.5, *, html: str = "html", text: str = "text") -> DataFrame:
     """pages with html replaced by the main text in column `text`; other columns stay. A narrow scan."""
     held = pages.sparkSession.sparkContext.broadcast(model or default_model())
-    names = [c for c in pages.columns if c not in (html, text)]
-    fields = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in names), f"`{text}` string"])
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list], list]:
         lstm = held.value
-        for pdf in batches:
-            for k in range(0, len(pdf), 256):
-                part = pdf.iloc[k : k + 256]
-                found = [blocks(h) for h in part["__weft_html"]]
-                keep = lstm.label(found)
-                out = part.drop(columns=["__weft_html"])
-                out[text] = ["\n".join(t for (t, _), p in zip(b, s, strict=True) if p >= threshold) for b, s in zip(found, keep, strict=True)]
-                yield out
-
-    return pages.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{html}`").cast("string").alias("__weft_html")).mapInPandas(go, fields)
+
+        def go(texts: list) -> list:
+            found = [blocks(h) for h in texts]
+            keep = lstm.label(found)
+            return [["\n".join(t for (t, _), p in zip(b, s, strict=True) if p >= threshold) for b, s in zip(found, keep, strict=True)]]
+
+        return go
+
+    return map_texts(pages, html, make, {text: ("string", pa.string())}, drop_text=html != text, rows=256)

@@ -13,15 +13,16 @@ the language with more training n-grams, then by name. A null language is not le
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import U64, encode, mix64
+from weftgraph.llm.common import U64, encode, map_texts, mix64
 
 N, GRAM_BITS, SLOT_BITS, HASHES = 4, 20, 21, 3
 PROFILE, RATIO, MIN_COUNT = 50_000, 0.5, 2
@@ -113,26 +114,17 @@ def fit(docs: DataFrame, profile: int = PROFILE, ratio: float = RATIO, min_count
 def predict(docs: DataFrame, filters: Filters, *, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with lang_pred and score (the best corrected share over the sum of all), by a narrow scan; columns of these names are replaced."""
     held = docs.sparkSession.sparkContext.broadcast(filters)
-    names = [c for c in docs.columns if c not in (out, score)]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    at = names.index(text)
-    letter = F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__weft_letter")
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list], list]:
         f = held.value
-        for pdf in batches:
-            best, sure = [], []
-            for t, has in zip(pdf.iloc[:, at], pdf["__weft_letter"], strict=True):
-                if not has or not f.languages:
-                    best.append("und")
-                    sure.append(0.0)
-                    continue
-                shares = f.shares(grams(t))
-                k = int(np.argmax(shares))
-                best.append(f.languages[k])
-                sure.append(float(shares[k] / shares.sum()) if shares.sum() > 0 else 0.0)
-            res = pdf.drop(columns=["__weft_letter"])
-            res[out], res[score] = best, np.array(sure, dtype=float)
-            yield res
-
-    return docs.select(*[F.col(f"`{c}`") for c in names], letter).mapInPandas(go, f"{fields}, `{out}` string, `{score}` double")
+
+        def one(t: str | None) -> tuple[str, float]:
+            if not t or not f.languages or not any(map(str.isalpha, t)):
+                return "und", 0.0
+            shares = f.shares(grams(t))
+            k = int(np.argmax(shares))
+            return f.languages[k], float(shares[k] / shares.sum()) if shares.sum() > 0 else 0.0
+
+        return lambda texts: list(zip(*map(one, texts), strict=True))
+
+    return map_texts(docs, text, make, {out: ("string", pa.string()), score: ("double", pa.float64())})

@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import U64, materialize, mix64, random64, release, row_key, word_hashes
+from weftgraph.llm.common import U64, map_texts, materialize, mix64, random64, release, row_key, word_hashes
 from weftgraph.operators.components import connected_components
 
 PERMS, BITS, BANDS, ROWS, SIGMAS, BLOCK = 512, 4, 36, 5, 4.5, 2048
@@ -104,23 +105,23 @@ def cut_of(threshold: float, perms: int, bits: int, sigmas: float) -> float:
 
 
 def _signatures(n: int, perms: int, bits: int, bands: int, rows: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k in range(0, len(pdf), 512):
-                part = pdf.iloc[k : k + 512]
-                sets = shingle_sets(part["text"].tolist(), n)
-                full = [i for i, s in enumerate(sets) if len(s)]
-                node, sig, keys = [None] * len(sets), [None] * len(sets), [None] * len(sets)
-                if full:
-                    mins = minima([sets[i] for i in full], perms)
-                    packed, bk = pack(mins, bits), band_keys(mins, bands, rows)
-                    for r, i in enumerate(full):
-                        s = sets[i]
-                        node[i] = s.sum().tobytes() + np.bitwise_xor.reduce(mix64(s ^ U64(len(s)))).tobytes()
-                        sig[i], keys[i] = packed[r].tobytes(), bk[r].tobytes()
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "rk": part["rk"], "n_shingles": [len(s) for s in sets], "node": node, "sig": sig, "keys": keys})
+    def go(texts: list) -> list:
+        sets = shingle_sets(texts, n)
+        full = [i for i, s in enumerate(sets) if len(s)]
+        node, sig, keys = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+        if full:
+            mins = minima([sets[i] for i in full], perms)
+            packed, bk = pack(mins, bits), band_keys(mins, bands, rows)
+            for r, i in enumerate(full):
+                s = sets[i]
+                node[i] = s.sum().tobytes() + np.bitwise_xor.reduce(mix64(s ^ U64(len(s)))).tobytes()
+                sig[i], keys[i] = packed[r].tobytes(), bk[r].tobytes()
+        return [[len(s) for s in sets], node, sig, keys]
 
-    return run
+    return lambda: go
+
+
+_SIGNATURE = {"n_shingles": ("long", pa.int64()), "node": ("binary", pa.binary()), "sig": ("binary", pa.binary()), "keys": ("binary", pa.binary())}
 
 
 def _set_rows(n: int):
@@ -239,7 +240,7 @@ def near_duplicates(
         raise ValueError("perms must be a multiple of 64 and at least bands * rows")
     cut = cut_of(num / den, perms, bits, sigmas)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("rk", row_key("doc_id", "text"))
-    rows_ = materialize(source.mapInPandas(_signatures(n, perms, bits, bands, rows), "doc_id long, rk binary, n_shingles long, node binary, sig binary, keys binary"))
+    rows_ = materialize(map_texts(source, "text", _signatures(n, perms, bits, bands, rows), _SIGNATURE, drop_text=True))
     filled = rows_.where("node is not null")
     # one row per class of equal sets; rk finds a text of the class again
     classes = materialize(filled.groupBy("node").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"), F.min("rk").alias("rk")))

@@ -11,15 +11,16 @@ null labels don't count. With no labelled rows, or one class only, every score i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import U64, encode, word_hashes
+from weftgraph.llm.common import U64, encode, map_texts, word_hashes
 
 DIMS = 1 << 16
 SAMPLE = 5000
@@ -178,16 +179,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cost: float =
 def score(docs: DataFrame, model: Model, ratios: np.ndarray, threshold: float = 0.3, *, text: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """docs with score and predicted (1 from the threshold on), by a narrow scan; columns of these names are replaced."""
     held = docs.sparkSession.sparkContext.broadcast((model, ratios))
-    names = [c for c in docs.columns if c not in (score_col, predicted_col)]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    at = names.index(text)
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list], list]:
         m, r = held.value
-        for pdf in batches:
-            s = np.array([m.score(m.margin(ids, r)) for ids in _in_parts(pdf.iloc[:, at])], dtype=float)
-            out = pdf.copy(deep=False)
-            out[score_col], out[predicted_col] = s, (s >= threshold).astype(np.int32)
-            yield out
 
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInPandas(go, f"{fields}, `{score_col}` double, `{predicted_col}` int")
+        def go(texts: list) -> list:
+            s = np.array([m.score(m.margin(ids, r)) for ids in feature_lists(texts)], dtype=float)
+            return [s, (s >= threshold).astype(np.int32)]
+
+        return go
+
+    return map_texts(docs, text, make, {score_col: ("double", pa.float64()), predicted_col: ("int", pa.int32())}, rows=256)

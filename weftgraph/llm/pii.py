@@ -15,11 +15,12 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from weftgraph.llm.common import map_texts
 
 ROUNDS = 10
 KINDS = ("email", "secret", "iban", "date", "ipv4", "ssn", "phone", "card")
@@ -215,18 +216,19 @@ def pseudonymize_text(text: object, feistel: Feistel) -> tuple[str | None, list[
 
 def pseudonymize(docs: DataFrame, key: bytes = b"weftgraph", *, text: str = "text", spans: str | None = "pii") -> DataFrame:
     """docs with personal data in text replaced, and (unless spans is None) an array of kind, start and end of each pseudonym."""
-    names = [c for c in docs.columns if c != spans]
-    at = names.index(text)
-    fields = ", ".join(f"`{c}` {'string' if c == text else docs.schema[c].dataType.simpleString()}" for c in names)
-    fields += f", `{spans}` array<struct<kind:string,start:int,end:int>>" if spans else ""
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list], list]:
         feistel = Feistel(key)
-        for pdf in batches:
-            done = [pseudonymize_text(t, feistel) for t in pdf.iloc[:, at]]
-            pdf.isetitem(at, [d[0] for d in done])
-            if spans:
-                pdf[spans] = [[{"kind": k, "start": a, "end": b} for k, a, b in d[1]] for d in done]
-            yield pdf
-
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInPandas(go, fields)
+
+        def go(texts: list) -> list:
+            done = [pseudonymize_text(t, feistel) for t in texts]
+            found = [[{"kind": k, "start": a, "end": b} for k, a, b in d[1]] for d in done]
+            return [[d[0] for d in done], found] if spans else [[d[0] for d in done]]
+
+        return go
+
+    new: dict = {text: ("string", pa.string())}
+    if spans:
+        item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+        new[spans] = ("array<struct<kind:string,start:int,end:int>>", pa.list_(item))
+    return map_texts(docs, text, make, new)

@@ -14,14 +14,12 @@ Defined results: null text stays null with no sentences; empty text has none. Ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import U64, encode, materialize, mix64, random64, release, row_key, word_hashes
+from weftgraph.llm.common import U64, encode, map_texts, materialize, mix64, random64, release, row_key, word_hashes
 
 RUN, MIN_WORDS, ALONE = 2, 12, 30
 _ENDS = np.zeros(256, bool)
@@ -71,64 +69,55 @@ def runs(counts: np.ndarray, hashes: np.ndarray, run: int, min_words: int, alone
 
 
 def _spans(run: int, min_words: int):
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k in range(0, len(pdf), 512):
-                part = pdf.iloc[k : k + 512]
-                got = [runs(*split(t)[1:], run, min_words) for t in part["text"]]
-                sizes = [len(g[0]) for g in got]
-                if sum(sizes):
-                    at, one, two = (np.concatenate([g[i] for g in got]) for i in (0, 2, 3))
-                    ids = part["doc_id"].astype("Int64").repeat(sizes).array
-                    yield pd.DataFrame({"one": one, "two": two, "doc_id": ids, "rk": part["rk"].repeat(sizes).array, "at": at.astype(np.int32)})
-
-    return go
-
-
-def _cut(run: int, min_words: int, text_at: int, schema_names: list[str]):
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, total, gone, words_gone = [], [], [], []
-            for text, starts in zip(pdf.iloc[:, text_at], pdf["__weft_at"], strict=True):
-                at, count, hashes = split(text)
-                total.append(len(at))
-                if starts is None or not len(starts):
-                    texts.append(text if isinstance(text, str) else None)
-                    gone.append(0)
-                    words_gone.append(0)
-                    continue
-                drop = np.zeros(len(at), bool)
-                ends = dict(zip(*runs(count, hashes, run, min_words)[:2], strict=True))
-                for s in starts:
-                    drop[s : ends[s]] = True
-                raw, bounds = encode(text), np.concatenate([at, [len(encode(text))]])
-                texts.append((raw[: at[0]] + b"".join(raw[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(~drop))).decode("utf-8", "surrogatepass"))
-                gone.append(int(drop.sum()))
-                words_gone.append(int(count[drop].sum()))
-            out = pdf.drop(columns=["__weft_at"])
-            out.isetitem(text_at, texts)
-            out["n_sentences"], out["n_removed"], out["n_words_removed"] = total, gone, words_gone
-            yield out[schema_names]
-
-    return go
+    def go(texts: list) -> list:
+        got = [runs(*split(t)[1:], run, min_words) for t in texts]
+        return [[[{"at": a, "one": x, "two": y} for a, x, y in zip(g[0].tolist(), g[2].tolist(), g[3].tolist(), strict=True)] for g in got]]
+
+    return lambda: go
+
+
+_SPAN = pa.list_(pa.struct([("at", pa.int32()), ("one", pa.int64()), ("two", pa.int64())]))
+
+
+def _cut(run: int, min_words: int):
+    """From one string per row, the starts of the runs to remove, comma-separated, a line feed, and the text."""
+
+    def one(row: str | None) -> tuple[str | None, int, int, int]:
+        if row is None:
+            return None, 0, 0, 0
+        places, _, text = row.partition("\n")
+        at, count, hashes = split(text)
+        if not places:
+            return text, len(at), 0, 0
+        drop = np.zeros(len(at), bool)
+        ends = dict(zip(*runs(count, hashes, run, min_words)[:2], strict=True))
+        for s in map(int, places.split(",")):
+            drop[s : ends[s]] = True
+        raw = encode(text)
+        bounds = np.concatenate([at, [len(raw)]])
+        left = raw[: at[0]] + b"".join(raw[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(~drop))
+        return left.decode("utf-8", "surrogatepass"), len(at), int(drop.sum()), int(count[drop].sum())
+
+    return lambda: lambda rows: list(zip(*map(one, rows), strict=True))
 
 
 def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated passages removed from text, plus n_sentences, n_removed (sentences) and n_words_removed."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     source = source.withColumn("rk", row_key("doc_id", "text"))
-    spans = materialize(source.mapInPandas(_spans(run, min_words), "one long, two long, doc_id long, rk binary, at int"))
+    found = map_texts(source, "text", _spans(run, min_words), {"spans": ("array<struct<at:int,one:long,two:long>>", _SPAN)}, drop_text=True)
+    spans = materialize(found.select("doc_id", "rk", F.explode("spans").alias("s")).select("doc_id", "rk", "s.at", "s.one", "s.two"))
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rk", "at")
     first = spans.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     repeated = spans.join(first.select("one", "two", "first"), ["one", "two"])
     later = repeated.where((F.col("rk") != F.col("first.rk")) | (F.col("at") != F.col("first.at")))
     # a document's own runs: as many as it has sentences, never a corpus-wide group
-    cuts = materialize(later.groupBy("rk").agg(F.array_sort(F.collect_set("at")).alias("__weft_at")).withColumnRenamed("rk", "__weft_rk"))
+    cuts = materialize(later.groupBy("rk").agg(F.array_sort(F.collect_set("at")).cast("array<string>").alias("__weft_at")).withColumnRenamed("rk", "__weft_rk"))
     keyed = docs.withColumn("__weft_rk", row_key(F.col(doc_id).cast("long"), F.col(text).cast("string")))
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "n_words_removed")]
-    joined = keyed.join(cuts, "__weft_rk", "left").select(*[F.col(f"`{c}`") for c in names], "__weft_at")
-    fields = ", ".join(f"`{c}` {'string' if c == text else docs.schema[c].dataType.simpleString()}" for c in names)
-    new = ["n_sentences", "n_removed", "n_words_removed"]
-    out = joined.mapInPandas(_cut(run, min_words, names.index(text), names + new), fields + "".join(f", {c} long" for c in new))
+    places = F.concat(F.array_join(F.coalesce("__weft_at", F.array().cast("array<string>")), ","), F.lit("\n"), F.col(f"`{text}`").cast("string"))
+    joined = keyed.join(cuts, "__weft_rk", "left").select(*[places.alias(text) if c == text else F.col(f"`{c}`") for c in names])
+    whole = ("long", pa.int64())
+    out = map_texts(joined, text, _cut(run, min_words), {text: ("string", pa.string()), "n_sentences": whole, "n_removed": whole, "n_words_removed": whole})
     release(spans)
     return out

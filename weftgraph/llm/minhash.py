@@ -38,8 +38,8 @@ def shingle_sets(texts: list, n: int) -> list[np.ndarray]:
     weights = random64(n, 77) | U64(1)
     total = len(words)
     full = np.zeros(max(0, total - n + 1), U64)
-    for j in range(n):
-        full += words[j : total - n + 1 + j] * weights[j]
+    for j in range(n if len(full) else 0):
+        full += words[j : j + len(full)] * weights[j]
     full = mix64(full)
     out = []
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):

@@ -75,23 +75,28 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40))))
 
 
-def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int = 30, tol: float = 0.02, seed: int = 7) -> tuple[np.ndarray, float]:
-    """L1-loss linear SVM with a bias feature of 1: (weights, bias). cost: the upper bound of each row's dual variable."""
+def dual_descent(rows: list[np.ndarray], ratios: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 30, tol: float = 0.02, seed: int = 7) -> tuple[np.ndarray, float]:
+    """L1-loss linear SVM with a bias feature of 1: (weights, bias). cost: the upper bound of each row's dual variable.
+
+    rows hold feature ids only; a row's values, its ratios scaled to length 1, are made when it is visited.
+    """
+    scale = np.array([1.0 / max(1e-12, np.sqrt((ratios[r] ** 2).sum())) for r in rows])
     w, bias = np.zeros(DIMS), 0.0
     alpha = np.zeros(len(rows))
-    norm = np.array([(v * v).sum() + 1.0 for v in values])
+    norm = np.array([(ratios[r] ** 2).sum() * s * s + 1.0 for r, s in zip(rows, scale, strict=True)])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            g = y[i] * (w[rows[i]] @ values[i] + bias) - 1.0
+            values = ratios[rows[i]] * scale[i]
+            g = y[i] * (w[rows[i]] @ values + bias) - 1.0
             pg = min(g, 0.0) if alpha[i] == 0 else max(g, 0.0) if alpha[i] == cost[i] else g
             worst = max(worst, abs(pg))
             if pg:
                 new = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
                 step = (new - alpha[i]) * y[i]
                 alpha[i] = new
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * values
                 bias += step
         if worst < tol:
             break
@@ -162,14 +167,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cost: float =
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * sample rows
     got = body.join(chosen, "__id").select("h", "good", "text").mapInPandas(_vectors, "h long, good boolean, ids binary").toPandas()
     got = got.sort_values(["h", "ids"], kind="stable").reset_index(drop=True)
-    rows = [np.frombuffer(x, np.uint16).astype(np.int32) for x in got["ids"]]
-    values = [ratios[r] / max(1e-12, np.sqrt((ratios[r] ** 2).sum())) for r in rows]
+    rows = [np.frombuffer(x, np.uint16) for x in got["ids"]]  # views of the collected bytes
     y = np.where(got["good"].to_numpy(bool), 1.0, -1.0)
     share = np.array([(y < 0).mean(), (y > 0).mean()])
     # balanced within the fit; the curve below restores the classes' shares
     bound = cost * 0.5 / np.maximum(share, 1e-9)[(y > 0).astype(int)]
-    w, bias = dual_descent(rows, values, y, bound)
-    margins = np.array([w[r] @ v + bias for r, v in zip(rows, values, strict=True)])
+    w, bias = dual_descent(rows, ratios, y, bound)
+    margins = np.array([(w[r] @ ratios[r]) / max(1e-12, np.sqrt((ratios[r] ** 2).sum())) + bias for r in rows])
     slope, offset = logistic(margins, y)
     # the sample may be balanced: shift the odds to the classes' shares in all labelled rows
     offset += float(np.log(n_good / n_bad) - np.log((y > 0).sum() / (y < 0).sum()))

@@ -109,7 +109,9 @@ def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, *,
     spans = materialize(found.select("doc_id", "rk", F.explode("spans").alias("s")).select("doc_id", "rk", "s.at", "s.one", "s.two"))
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rk", "at")
     first = spans.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    repeated = spans.join(first.select("one", "two", "first"), ["one", "two"])
+    # written, so that both sides of the join are plain exchanges and a hot hash can be split among tasks
+    first = materialize(first.select("one", "two", "first"))
+    repeated = spans.join(first, ["one", "two"])
     later = repeated.where((F.col("rk") != F.col("first.rk")) | (F.col("at") != F.col("first.at")))
     # a document's own runs: as many as it has sentences, never a corpus-wide group
     cuts = materialize(later.groupBy("rk").agg(F.array_sort(F.collect_set("at")).cast("array<string>").alias("__weft_at")).withColumnRenamed("rk", "__weft_rk"))
@@ -119,5 +121,5 @@ def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, *,
     joined = keyed.join(cuts, "__weft_rk", "left").select(*[places.alias(text) if c == text else F.col(f"`{c}`") for c in names])
     whole = ("long", pa.int64())
     out = map_texts(joined, text, _cut(run, min_words), {text: ("string", pa.string()), "n_sentences": whole, "n_removed": whole, "n_words_removed": whole})
-    release(spans)
+    release(spans, first)
     return out

@@ -50,7 +50,7 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     slim = materialize(planned.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.positions"))
     first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
-    return slim.repartitionByRange(first).sortWithinPartitions(first).drop("positions")
+    return slim.repartitionByRange(first, "doc_id").sortWithinPartitions(first, "doc_id").drop("positions")
 
 
 def op1_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,8 +159,11 @@ def run_batch(
     while running or pending:
         started = time.perf_counter()
         frontier = state.where(F.col("level") == level)
-        sizes = frontier.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).collect()
-        live = {r.query_id: r.n for r in sizes}
+        # one job per level: active queries with their sizes, and the distinct vertices in the last row
+        grouped = frontier.groupBy(F.col("query_id")) if mode != "hybrid" and not profile else frontier.rollup("query_id")
+        sizes = grouped.agg(F.count(F.lit(1)).alias("n"), *([F.count_distinct("vertex").alias("u")] if mode == "hybrid" or profile else [])).collect()
+        unique = next((r.u for r in sizes if r.query_id is None), 0) if mode == "hybrid" or profile else 0
+        live = {r.query_id: r.n for r in sizes if r.query_id is not None}
         for q in [q for q in running if q not in live]:
             done[q] = max(0, level - running.pop(q) - 1)
         new = admit(level)
@@ -174,7 +177,8 @@ def run_batch(
             break
         if max_iterations and level >= max_iterations:
             break
-        unique = frontier.select("vertex").distinct().count() if mode == "hybrid" or profile else 0
+        if new and (mode == "hybrid" or profile):
+            unique = frontier.select("vertex").distinct().count()
         now = mode if mode != "hybrid" else "pull" if unique >= pull_share * n_vertices else "push"
         source = frontier if now == "push" else state
         step = source.join(edges, source["vertex"] == edges["src"])

@@ -50,7 +50,7 @@ def update_all(edges: DataFrame, nodes: DataFrame, message: Column, reducer: str
     m = apply_edges(edges, message, "__m", nodes, targets)
     got = m.groupBy(F.col("dst").alias("id")).agg(REDUCERS[reducer](F.col("__m")).alias(out))
     ends = targets if targets is not None else nodes
-    joined = ends.join(got, "id", "left")
+    joined = ends.select("id").join(got, "id", "left")
     return joined.select("id", (F.coalesce(F.col(out), default) if default is not None else F.col(out)).alias(out))
 
 

@@ -1,0 +1,317 @@
+"""Operators against brute force, round trips and held-out accuracy on small fixtures."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm.conftest import DOCS, body
+from weftgraph.llm import decontam, html, langid, minhash, mixing, nbsvm, pii, sentences, warc
+from weftgraph.llm import queries as q
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+
+
+def edited(rng, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+# -- near duplicates ------------------------------------------------------------------------------------------------
+
+
+def shingles(t, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({" ".join(w)} if w else set())
+
+
+def brute_components(texts, num, den):
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    find = lambda v: v if root[v] == v else find(root[v])
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and den * len(a & b) >= num * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+@pytest.mark.parametrize("num", [80, 85])
+def test_minhash_components(spark, block, num):
+    rng = random.Random(block + num)
+    texts = []
+    for _ in range(12):
+        t = body(rng, 14)
+        texts.append(t)
+        for _ in range(rng.randrange(7)):  # chains of copies of copies, some beyond the threshold
+            t = edited(rng, t if rng.random() < 0.6 else texts[-1], rng.choice([0, 1, 2, 3, 4]))
+            texts.append(t)
+    rng.shuffle(texts)
+    got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, texts), num, 100, block=block).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == brute_components(texts, num, 100)
+    assert [got[i].n_shingles for i in range(len(texts))] == [len(shingles(t)) for t in texts]
+    kept = {r.doc_id for r in minhash.keep_one(frame(spark, texts), num, 100, block=block).collect()}
+    assert kept == set(brute_components(texts, num, 100))
+
+
+def test_bbit_estimates():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.85):
+        errors = []
+        for _ in range(30):
+            pool = rng.integers(1, 2**62, 400).astype(np.uint64)
+            n = int(400 * share)
+            a, b = np.unique(np.concatenate([pool[:n], pool[n : n + (400 - n) // 2]])), np.unique(np.concatenate([pool[:n], pool[n + (400 - n) // 2 :]]))
+            packed = minhash.pack(minhash.minima([a, b], 512), 4)
+            errors.append(minhash.estimate(packed[0], packed[1:], 4)[0] - n / 400)
+        assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.04
+
+
+# -- sentence spans ---------------------------------------------------------------------------------------------
+
+
+def brute_spans(texts, run, min_words, alone):
+    docs = []
+    for t in texts:
+        parts, held = [], ""
+        for word in re.findall(r"\S+\s*", t):
+            held += word
+            if word.rstrip()[-1] in ".!?" or "\n" in word:
+                parts.append(held)
+                held = ""
+        docs.append([(p, p.lower().split()) for p in [*parts, held] if p])
+    seen, out = set(), []
+    for parts in docs:
+        drop = set()
+        for i in range(len(parts)):
+            j, words = i, 0
+            while j < len(parts) and not (words >= alone or (j - i >= run and words >= min_words)):
+                words += len(parts[j][1])
+                j += 1
+            if words >= alone or (j - i >= run and words >= min_words):
+                key = tuple(tuple(w) for _, w in parts[i:j])
+                if key in seen:
+                    drop |= set(range(i, j))
+                seen.add(key)
+        out.append("".join(p for k, (p, _) in enumerate(parts) if k not in drop))
+    return out
+
+
+def test_sentence_spans(spark):
+    rng = random.Random(3)
+    shared = [body(rng, 6) for _ in range(4)]
+    texts = [" ".join(rng.choice([body(rng, 3), rng.choice(shared)]) for _ in range(4)) for _ in range(25)] + ["Short. Short. " + shared[0], shared[0], shared[1].upper()]
+    got = {r.doc_id: r.text for r in sentences.dedup_spans(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_spans(texts, sentences.RUN, sentences.MIN_WORDS, sentences.ALONE)
+
+
+# -- decontamination -----------------------------------------------------------------------------------------------
+
+
+def brute_distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        nxt = [i]
+        for j, d in enumerate(text, 1):
+            nxt.append(min(nxt[-1] + 1, row[j] + 1, row[j - 1] + (c != d)))
+        row = nxt
+    return min(row)
+
+
+def test_edit_matching(spark):
+    rng = random.Random(9)
+    items = [" ".join(body(rng, 1).split()[: rng.choice([6, 9])]) for _ in range(6)] + ["tiny item"]
+    texts = []
+    for _ in range(30):
+        t, it = body(rng, 4), rng.choice(items)
+        chars = list(it)
+        for _ in range(rng.randrange(9)):
+            k = rng.randrange(len(chars))
+            chars[k : k + 1] = rng.choice([[], ["q"], [chars[k], "z"]])
+        cut = rng.randrange(len(t))
+        texts.append(f"{t[:cut]} {''.join(chars).upper() if rng.random() < 0.3 else ''.join(chars)} {t[cut:]}")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        for k, it in enumerate(items):
+            n = decontam.normal(it)
+            d, e = brute_distance(n, decontam.normal(t)), decontam.budget(len(n))
+            if d <= e and (e or f" {n} " in f" {decontam.normal(t)} "):
+                want[(i, k)] = d
+    for chars in (10**9, 100):  # one block of items, and several
+        got = {(r.doc_id, r.item_id): r.distance for r in decontam.find_leaks(frame(spark, texts), bench, block_chars=chars).collect()}
+        assert got == want and any(want.values())
+    assert {r.doc_id for r in decontam.without_leaks(frame(spark, texts), bench).collect()} == set(range(len(texts))) - {i for i, _ in want}
+
+
+# -- pseudonyms -------------------------------------------------------------------------------------------------------
+
+
+def test_feistel_is_a_permutation():
+    f = pii.Feistel(b"k")
+    assert sorted(f.number(x, 1000, b"t") for x in range(1000)) == list(range(1000))
+    assert len({f.text(f"{x:03d}", b"t") for x in range(1000)}) == 1000
+    assert f.text("ab-12", b"t") != pii.Feistel(b"other").text("ab-12", b"t")
+
+
+def test_pseudonyms_keep_their_format():
+    f = pii.Feistel(b"k")
+    text = "Mail Jo.Doe7@mail.example.com, call +1 (743) 555-3824 or 555-123-4567; card 4111 1111 1111 1111, ip 10.0.0.1, born 1987-03-12 (03/12/1987), ssn 123-45-6789, GB82 WEST 1234 5698 7654 32."
+    new, found = pii.pseudonymize_text(text, f)
+    assert [k for k, _, _ in found] == ["email", "phone", "phone", "card", "ipv4", "date", "date", "ssn", "iban"]
+    got = {k: new[a:b] for k, a, b in found}
+    card = got["card"].replace(" ", "")
+    assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", got["card"]) and pii.luhn_digit(card[:-1]) == card[-1]
+    assert pii._mod97(got["iban"].replace(" ", "")) == 1 and re.fullmatch(r"[A-Z][a-z]\.[A-Z][a-z]{2}\d@mail\.example\.com", got["email"])
+    assert max(map(int, got["ipv4"].split("."))) <= 255 and all(new[a:b] not in text for _, a, b in found)
+    again, _ = pii.pseudonymize_text("see Jo.Doe7@mail.example.com", f)
+    assert got["email"] in again
+    clean = "Version 3.11.4 of 2 parts, 1999-13-45, 12:30, 300.1.1.1, chapter 10"
+    assert pii.pseudonymize_text(clean, f) == (clean, [])
+
+
+# -- models -----------------------------------------------------------------------------------------------------------
+
+
+def test_quality_on_held_out_rows(spark):
+    rng = random.Random(2)
+    good = [body(rng, rng.randint(1, 8)) for _ in range(160)]
+    bad = [" ".join(w + rng.choice(["***", "###", "$$$"]) for w in body(rng, 3).split()) for _ in range(40)] + [" ".join([rng.choice("abc")] * 30) for _ in range(20)]
+    docs = frame(spark, good + bad)
+    labels = spark.createDataFrame([(i, int(i < 160)) for i in range(220)], "doc_id long, quality int")
+    from weftgraph.llm.common import held_out
+
+    model, ratios = nbsvm.fit(docs.where(~held_out()), labels, sample=60)
+    rows = nbsvm.score(docs.where(held_out()), model, ratios).collect()
+    assert len(rows) > 25 and sum(r.predicted == (r.doc_id < 160) for r in rows) / len(rows) >= 0.97
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_on_held_out_rows(spark):
+    rng = random.Random(6)
+    parts = {"aa": ["ka", "lo", "mi", "ra"], "bb": ["ka", "xu", "ze", "wo"], "cc": ["é", "ün", "ra", "lo"]}
+    docs = [("".join(rng.choice(parts[k]) + rng.choice(["", " "]) for _ in range(60)), k) for k in parts for _ in range(40)]
+    rng.shuffle(docs)
+    df = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(docs)], "doc_id long, text string, lang string")
+    filters = langid.fit(df.where("doc_id < 80"))
+    rows = langid.predict(df.where("doc_id >= 80"), filters).collect()
+    assert sum(r.lang_pred == r.lang for r in rows) / len(rows) >= 0.95
+    extra = spark.createDataFrame([(1, None), (2, ""), (3, "12 !!"), (4, "ka")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(extra, filters).where("doc_id < 4").collect()} == dict.fromkeys((1, 2, 3), "und")
+
+
+def test_block_labels_on_held_out_pages():
+    model, rng = html.default_model(), np.random.default_rng(77)
+    pages = [html.page_of(rng) for _ in range(200)]
+    found = [html.blocks(p) for p, _ in pages]
+    assert all(len(b) == len(y) for b, (_, y) in zip(found, pages, strict=True))
+    wrong = sum(int(((p >= 0.5) != np.array(y)).sum()) for p, (_, y) in zip(model.label(found), pages, strict=True))
+    assert wrong / sum(map(len, found)) < 0.005
+
+
+def test_blocks():
+    page = "<p>a &amp; b<br>c\n d<p>e<script>var x='</p>'</script><style>p{}</style><!-- <p>no --><ul><li>f<li>g <b>h</b></ul>tail<di"
+    assert [t for t, _ in html.blocks(page)] == ["a & b c d", "e", "f", "g h", "tail"]
+
+
+# -- mixing and archives ---------------------------------------------------------------------------------------------
+
+
+def test_mix_reaches_targets(spark):
+    rng = random.Random(5)
+    rows = [(i, body(rng, rng.randint(1, 30)), "en", rng.choice(["a", "a", "a", "b", "c", None]), 0) for i in range(300)]
+    planned = mixing.plan(spark.createDataFrame(rows, DOCS), rows_per_prefix=16).select("doc_id", "source", "mix.*").collect()
+    by = {}
+    for r in planned:
+        by.setdefault(r.source, []).append(r)
+        assert 0 <= r.taken <= 2 * r.size
+    total = sum(r.size for r in planned)
+    assert sum(v[0].target for v in by.values()) == pytest.approx(1.5 * total)
+    for v in by.values():
+        assert abs(sum(r.taken for r in v) - v[0].target) <= 1 and v[0].target <= 2 * v[0].source_size + 1e-6
+    out = mixing.curriculum(mixing.plan(spark.createDataFrame(rows, DOCS))).collect()
+    at = [r.position for r in out]
+    assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
+
+
+def test_schedules_are_inverted():
+    for knots in mixing.SCHEDULES:
+        segs = mixing._segments(knots)
+        assert sum(s[2] for s in segs) == pytest.approx(1.0)
+
+
+def test_archives_round_trip(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", t) for i, t in enumerate(["x" * 999, "x" * 999, "é" * 500, "é" * 500, "é" * 500, "a\r\n\r\nb\u0000", ""])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(pages, f"file://{tmp_path}/w", records_per_file=2)
+    got = warc.assemble(warc.read_archives(spark, f"file://{tmp_path}/w")).collect()
+    kinds = {r.info.page_id: r.capture.record_type for r in got}
+    assert kinds == {0: "response", 1: "response", 2: "revisit", 3: "revisit", 4: "response", 5: "response", 6: "response"}
+    assert {r.info.page_id: bytes(r.capture.payload).decode() for r in got if r.capture.payload is not None} == {i: t for i, _, t in rows if i not in (2, 3)}
+    ids = {r.capture.record_id: r.info.page_id for r in got}
+    assert {ids[r.capture.refers_to] for r in got if r.capture.refers_to} == {4} and all(r.request and r.metadata for r in got)
+
+
+# -- whole queries on a fixture -----------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    rng, root = random.Random(12), tmp_path_factory.mktemp("corpus")
+    items = [" ".join(body(rng, 2).split()[:16]) for _ in range(3)]
+    docs = []
+    for i in range(120):
+        t = body(rng, rng.randint(8, 14))
+        if i % 10 == 3:
+            t = docs[-1][1] if i % 20 == 3 else edited(rng, docs[-1][1], 1)
+        if i % 17 == 5:
+            t += " " + rng.choice(items) + " " + body(rng, 2)
+        if i % 9 == 4:
+            t += f" write to user{i % 3}@mail.example.com"
+        if i % 6 == 1:
+            t = " ".join(w + "***" for w in t.split())
+        docs.append((i, t, "en", rng.choice(["a", "b", "c"]), len(t)))
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i % 6 != 1), 0) for i in range(0, 120, 2)] + [(i, 0, 0) for i in range(1, 60, 6)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    return str(root), docs, items
+
+
+def test_pipeline(spark, corpus):
+    root, docs, items = corpus
+    left = [d for d in docs if d[0] % 6 != 1]  # the classes are plain: every rejected text has marks on its words
+    comp = brute_components([d[1] for d in left], 80, 100)
+    left = [d for k, d in enumerate(left) if comp[k] == k]
+    left = [d for d in left if not any(brute_distance(decontam.normal(it), decontam.normal(d[1])) <= decontam.budget(len(decontam.normal(it))) for it in items)]
+    f = pii.Feistel(b"weftgraph")
+    want = {d[0]: pii.pseudonymize_text(d[1], f)[0] for d in left}
+    rows = corpus_pipeline.run(spark, root).collect()
+    assert {r.doc_id: r.text for r in rows}.items() <= want.items()
+    assert all(r.n_chars == len(r.text) for r in rows)
+    sizes = {}
+    for d in left:
+        sizes[d[3]] = sizes.get(d[3], 0) + len(want[d[0]].split())
+    copies = sum(len(r.text.split()) for r in rows)
+    assert 1.5 * sum(sizes.values()) <= copies <= 1.5 * sum(sizes.values()) + 200 * len(sizes)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "minhash near-dedup", "benchmark decontamination", "pii", "mix"]
+
+
+def test_queries_without_sql(spark, corpus):
+    root, docs, items = corpus
+    got = {r.doc_id: r.text for r in q.op1_sentence_span_dedup(spark, root).collect()}
+    assert [got[i] for i in range(120)] == brute_spans([d[1] for d in docs], sentences.RUN, sentences.MIN_WORDS, sentences.ALONE)
+    leaks = {(r.doc_id, r.item_id) for r in q.op4_edit_decontamination(spark, root).collect()}
+    assert leaks == {(d[0], k) for d in docs for k, it in enumerate(items) if brute_distance(decontam.normal(it), decontam.normal(d[1])) <= decontam.budget(len(decontam.normal(it)))}
+    f = pii.Feistel(b"weftgraph")
+    assert {r.doc_id: r.text for r in q.op8_feistel_pii(spark, root).collect()} == {d[0]: pii.pseudonymize_text(d[1], f)[0] for d in docs}
+    quality = q.op2_nbsvm_quality(spark, root)
+    assert quality.columns == ["doc_id", "held_out", "score", "predicted"] and quality.where(F.col("held_out") != (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)).isEmpty()

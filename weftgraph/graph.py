@@ -14,6 +14,7 @@ class Graph:
     def __init__(self, edges: DataFrame, vertices: DataFrame | None = None, *, src: str = "src", dst: str = "dst", weight: str | None = "weight"):
         w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight and weight in edges.columns else F.lit(1.0)
         self.edges = edges.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), w.alias("weight")).where("src is not null and dst is not null")
+        self.implicit = vertices is None  # the vertices are the ends of the edges
         ends = self.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         self.vertices = ends if vertices is None else vertices.select(F.col(vertices.columns[0]).cast("long").alias("id")).where("id is not null").distinct()
 
@@ -66,6 +67,7 @@ class Graph:
 
     def compact(self) -> tuple[Graph, DataFrame]:
         """The graph without isolated vertices on ids 0, 1, ..., and the mapping (old, new)."""
+        self.implicit = vertices is None  # the vertices are the ends of the edges
         ends = self.edges.select(F.explode(F.array("src", "dst")).alias("id"))
         mapping = dense_ids(ends, "id", "new").withColumnRenamed("key", "old")
         return self.relabel(mapping), mapping

@@ -125,13 +125,20 @@ def run_batch(
     """
     if mode not in ("push", "pull", "hybrid"):
         raise ValueError(f"unknown mode {mode!r}")
-    check(queries, graph, slots)
     spark = graph.edges.sparkSession
+    # the graph's own plan runs once: checks, counts and levels read what it gave
+    base = materialize(graph.edges.distinct().repartition("src"))
+    graph = Graph(base, None if graph.implicit else graph.vertices)
+    try:
+        check(queries, graph, slots)
+    except ValueError:
+        release(base)
+        raise
     kinds = {q.kind for q in queries}
     edges = graph.edges.withColumn("back", F.lit(False))
     if any(SEMIRINGS[k].both_ways for k in kinds):
         edges = edges.unionByName(graph.reverse().edges.withColumn("back", F.lit(True)))
-    edges = materialize(edges.distinct().repartition("src"))
+        edges = materialize(edges.repartition("src"))
     n_vertices = graph.vertices.count() if mode == "hybrid" else 0
     degree = edges.where("not back").groupBy(F.col("src").alias("vertex")).agg(F.count(F.lit(1)).alias("degree")) if profile else None
 
@@ -159,11 +166,7 @@ def run_batch(
     while running or pending:
         started = time.perf_counter()
         frontier = state.where(F.col("level") == level)
-        # one job per level: active queries with their sizes, and the distinct vertices in the last row
-        grouped = frontier.groupBy(F.col("query_id")) if mode != "hybrid" and not profile else frontier.rollup("query_id")
-        sizes = grouped.agg(F.count(F.lit(1)).alias("n"), *([F.count_distinct("vertex").alias("u")] if mode == "hybrid" or profile else [])).collect()
-        unique = next((r.u for r in sizes if r.query_id is None), 0) if mode == "hybrid" or profile else 0
-        live = {r.query_id: r.n for r in sizes if r.query_id is not None}
+        live = {r.query_id: r.n for r in frontier.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).collect()}
         for q in [q for q in running if q not in live]:
             done[q] = max(0, level - running.pop(q) - 1)
         new = admit(level)
@@ -172,14 +175,15 @@ def run_batch(
             release(state)
             state = grown
             frontier = state.where(F.col("level") == level)
-            live |= {q.query_id: 1 for q in new}
+            live |= {q.query_id: n_vertices if SEMIRINGS[q.kind].all_vertices else 1 for q in new}
         if not live and not pending:
             break
         if max_iterations and level >= max_iterations:
             break
-        if new and (mode == "hybrid" or profile):
-            unique = frontier.select("vertex").distinct().count()
-        now = mode if mode != "hybrid" else "pull" if unique >= pull_share * n_vertices else "push"
+        # distinct vertices are no more than pairs, so small frontiers need no count
+        pairs = sum(live.values())
+        unique = frontier.select("vertex").distinct().count() if profile or mode == "hybrid" and pairs >= pull_share * n_vertices else 0
+        now = mode if mode != "hybrid" else "pull" if unique and unique >= pull_share * n_vertices else "push"
         source = frontier if now == "push" else state
         step = source.join(edges, source["vertex"] == edges["src"])
         step = step.where(_per_kind(lambda s: F.lit(True) if s.both_ways else ~F.col("back"), kinds))
@@ -191,7 +195,6 @@ def run_batch(
         nxt = joined.select("query_id", "kind", "vertex", F.when(better, F.col("cand") * sign()).otherwise(F.col("value")).alias("value"), F.when(better, level + 1).otherwise(F.col("old_level")).cast("int").alias("level"))
         fresh = materialize(nxt)
         if profile:
-            pairs = sum(live.values())
             work = frontier.join(degree, "vertex")
             virtual = work.agg(F.sum("degree")).first()[0] or 0
             actual = work.select("vertex", "degree").distinct().agg(F.sum("degree")).first()[0] or 0
@@ -202,7 +205,7 @@ def run_batch(
     completed = dict.fromkeys(done, True)
     for q in running:
         done[q], completed[q] = level - running[q], False
-    release(edges)
+    release(edges, base)
     return BatchResult(state.select("query_id", "kind", "vertex", "value"), done, profiles, completed)
 
 

@@ -67,7 +67,6 @@ class Graph:
 
     def compact(self) -> tuple[Graph, DataFrame]:
         """The graph without isolated vertices on ids 0, 1, ..., and the mapping (old, new)."""
-        self.implicit = vertices is None  # the vertices are the ends of the edges
         ends = self.edges.select(F.explode(F.array("src", "dst")).alias("id"))
         mapping = dense_ids(ends, "id", "new").withColumnRenamed("key", "old")
         return self.relabel(mapping), mapping

@@ -123,7 +123,7 @@ def run_batch(
     start_level delays queries by that many levels. max_iterations > 0 stops early; queries that had not settled keep
     their partial values and count as not completed.
     """
-    if mode not in ("push", "pull", "hybrid"):
+    if mode not in ("push", "pull", "hybrid", "shared"):
         raise ValueError(f"unknown mode {mode!r}")
     spark = graph.edges.sparkSession
     # the graph's own plan runs once: checks, counts and levels read what it gave
@@ -184,7 +184,9 @@ def run_batch(
         pairs = sum(live.values())
         unique = frontier.select("vertex").distinct().count() if profile or mode == "hybrid" and pairs >= pull_share * n_vertices else 0
         now = mode if mode != "hybrid" else "pull" if unique and unique >= pull_share * n_vertices else "push"
-        source = frontier if now == "push" else state
+        source = state if now == "pull" else frontier
+        if now == "shared":  # one frontier for all queries: a vertex that improved for one is extended for each that reached it
+            source = state.join(frontier.select("vertex").distinct(), "vertex", "left_semi")
         step = source.join(edges, source["vertex"] == edges["src"])
         step = step.where(_per_kind(lambda s: F.lit(True) if s.both_ways else ~F.col("back"), kinds))
         step = step.select("query_id", "kind", F.col("dst").alias("vertex"), (_per_kind(lambda s: s.extend(F.col("value"), F.col("weight")), kinds) * sign()).alias("cand"))

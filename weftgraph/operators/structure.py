@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
 from weftgraph.operators.components import connected_components
+from weftgraph.plans.prefix import running_total
 from weftgraph.plans.scratch import materialize, release
 
 
@@ -126,6 +127,24 @@ def betweenness(graph: Graph, sources: list[int], max_levels: int = 10_000) -> D
     return graph.vertices.join(total, "id", "left").select("id", F.coalesce("bc", F.lit(0.0)).alias("bc"))
 
 
+def betweenness_all(graph: Graph, batch: int = 2048) -> DataFrame:
+    """(id, bc) over all sources, in batches: a batch shares each level's scan of the edges, and vertices without out-edges add nothing as sources.
+
+    Only ids of sources reach the driver, `batch` at a time; each batch's sums are written and added up.
+    """
+    e = materialize(graph.edges)
+    g = Graph(e, graph.vertices)
+    # a source counts only if a path of two edges leaves it
+    second = e.where("src <> dst").select(F.col("src").alias("dst")).distinct()
+    useful = materialize(running_total(e.join(second, "dst", "left_semi").select(F.col("src").alias("id")).distinct(), ["id"], F.lit(1).cast("long"), "k"))
+    total = g.vertices.select("id", F.lit(0.0).alias("bc"))
+    for a in range(0, useful.count(), batch):
+        chunk = [r.id for r in useful.where((F.col("k") >= a) & (F.col("k") < a + batch)).select("id").collect()]
+        got = betweenness(g, chunk).where("bc <> 0").unionByName(total)
+        total = materialize(got.groupBy("id").agg(F.sum("bc").alias("bc")))
+    return total
+
+
 def modularity(graph: Graph, labels: DataFrame, adjacent_only: bool = True) -> float:
     """Modularity of labels(id, component) over stored (directed) edges; adjacent_only compares only pairs joined by an edge, the textbook form all pairs."""
     m2 = graph.edges.count()

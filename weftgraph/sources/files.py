@@ -147,6 +147,97 @@ def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     return e.select("src", "dst", F.col("weight") if weighted else F.lit(1.0).alias("weight"))
 
 
+def _numbers(spark: SparkSession, path: str, dtype: str, step: int = 1 << 20) -> DataFrame:
+    """(position, x) of a file that is one array."""
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                x = np.frombuffer(content, dtype)
+                for a in range(0, len(x), step):
+                    yield pd.DataFrame({"position": np.arange(a, min(a + step, len(x))), "x": x[a : a + step].astype(np.float64)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(go, "position long, x double")
+
+
+def _from_arrays(offsets: DataFrame, targets: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """Edges of offsets, targets and weights, each as (position, x)."""
+    starts = offsets.select(F.col("position").alias("id"), F.col("x").cast("long").alias("offset"))
+    ends = starts.select((F.col("id") - 1).alias("id"), F.col("offset").alias("end"))
+    slots = csr_to_coo(starts.join(ends, "id").select("id", "offset", (F.col("end") - F.col("offset")).alias("degree"))).select(F.col("id").alias("src"), "position")
+    e = slots.join(targets.select("position", F.col("x").cast("long").alias("dst")), "position")
+    e = e.withColumn("weight", F.lit(1.0)) if weights is None else e.join(weights.select("position", F.col("x").alias("weight")), "position")
+    return e.select("src", "dst", "weight")
+
+
+def read_csr_folder(spark: SparkSession, path: str, offsets: str = "csr_vlist.bin", targets: str = "csr_elist.bin", weights: str = "csr_weightlist.bin", dtype: str = "<i4") -> DataFrame:
+    """A folder of three arrays; without weights they are 1. Sizes that differ raise an error."""
+    names = {r.name for r in spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name")).collect()}
+    v, e = (_numbers(spark, f"{path}/{name}", dtype) for name in (offsets, targets))
+    w = _numbers(spark, f"{path}/{weights}", dtype) if weights in names else None
+    ends = v.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.max_by("x", "position").alias("last")).first()
+    m = e.count()
+    if ends.a != 0 or ends.b != m or ends.last != m or (w is not None and w.count() != m):
+        raise ValueError("sizes and counts differ")
+    return _from_arrays(v, e, w)
+
+
+def read_named(spark: SparkSession, name: str, catalog: dict[str, str]) -> Graph:
+    """The graph that a catalog {name: path} lists."""
+    if name not in catalog:
+        raise ValueError(f"no graph named {name!r}; known: {sorted(catalog)}")
+    return read_graph(spark, catalog[name])
+
+
+def read_hypergraph(spark: SparkSession, path: str) -> DataFrame:
+    """(hyperedge, member) of AdjacencyHypergraph text: nv, mv, nh, mh, nv row starts, mv hyperedges, nh row starts, mh members.
+
+    The half by vertices alone defines the membership; the half by hyperedges repeats it.
+    """
+    text = spark.read.text(path).where("trim(value) <> ''").select(F.trim("value").alias("value"))
+    lines = running_total(text.withColumn("i", F.monotonically_increasing_id()), ["i"], F.lit(1).cast("long"), "k")
+    head = {r.k: r.value for r in lines.where("k < 5").collect()}
+    if head.get(0) not in ("AdjacencyHypergraph", "WeightedAdjacencyHypergraph"):
+        raise ValueError("no hypergraph header")
+    nv, mv = int(head[1]), int(head[2])
+    num = lines.where("k >= 5").select((F.col("k") - 5).alias("position"), F.col("value").cast("double").alias("x"))
+    starts = num.where(F.col("position") < nv).unionByName(spark.createDataFrame([(nv, float(mv))], "position long, x double"))
+    found = _from_arrays(starts, num.where((F.col("position") >= nv) & (F.col("position") < nv + mv)).select((F.col("position") - nv).alias("position"), "x"), None)
+    return found.select(F.col("dst").alias("hyperedge"), F.col("src").alias("member"))
+
+
+def write_adjacency(graph: Graph, path: str, weighted: bool = False) -> None:
+    """AdjacencyGraph (or weighted) text for vertices 0 .. n - 1, in order over the part files."""
+    spark = graph.edges.sparkSession
+    top = graph.vertices.agg(F.max("id")).first()[0]
+    n = 0 if top is None else top + 1
+    m = graph.edges.count()
+    full = Graph(graph.edges, spark.range(n))
+    e = running_total(graph.edges, ["src", "dst", "weight"], F.lit(1).cast("long"), "k")
+    parts = [
+        spark.createDataFrame([(0, "WeightedAdjacencyGraph" if weighted else "AdjacencyGraph"), (1, str(n)), (2, str(m))], "at long, value string"),
+        full.csr_offsets().select((F.col("id") + 3).alias("at"), F.col("offset").cast("string").alias("value")),
+        e.select((F.col("k") + 3 + n).alias("at"), F.col("dst").cast("string").alias("value")),
+    ]
+    if weighted:
+        whole = F.col("weight") == F.floor("weight")
+        parts.append(e.select((F.col("k") + 3 + n + m).alias("at"), F.when(whole, F.col("weight").cast("long").cast("string")).otherwise(F.col("weight").cast("string")).alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out.repartitionByRange("at").sortWithinPartitions("at").select("value").write.text(path)
+
+
+def write_metrics(spark: SparkSession, runs: list[float], path: str, sources: list[int] | None = None, tags: list[str] | None = None, **info: str) -> None:
+    """One JSON row: run times in ms with their mean, deviation, minimum and maximum, the sources, tags and the system."""
+    x = np.array(runs, float)
+    stats = (float(x.mean()), float(x.std()), float(x.min()), float(x.max())) if len(x) else (None,) * 4
+    system = {"spark": spark.version, "master": spark.sparkContext.master, "parallelism": str(spark.sparkContext.defaultParallelism)} | info
+    row = ([float(r) for r in runs], *stats, list(sources or []), list(tags or []), system)
+    schema = "run_ms array<double>, mean_ms double, deviation_ms double, min_ms double, max_ms double, sources array<long>, tags array<string>, system map<string,string>"
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").json(path)
+
+
 def read_sources(spark: SparkSession, text: str) -> list[int]:
     """Query sources from `0,1,2`, or from a file with one id a line."""
     if all(x.strip().lstrip("-").isdigit() for x in text.split(",")):
@@ -159,10 +250,12 @@ READERS = {".mtx": lambda s, p: read_matrix_market(s, p)[0], ".mm": lambda s, p:
 
 
 def read_graph(spark: SparkSession, path: str) -> Graph:
-    """The reader is chosen by the suffix."""
+    """The reader is chosen by the suffix; a path that ends in / without one is a folder of arrays."""
     for suffix, read in READERS.items():
         if path.rstrip("/").endswith(suffix):
             return Graph(read(spark, path))
+    if path.endswith("/"):  # a folder
+        return Graph(read_csr_folder(spark, path.rstrip("/")))
     raise ValueError(f"no reader for {path}")
 
 

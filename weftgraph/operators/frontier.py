@@ -21,7 +21,7 @@ def _ids(frontier: DataFrame, name: str) -> DataFrame:
     return frontier.select(F.col(frontier.columns[0]).cast("long").alias(name))
 
 
-def advance(graph: Graph, frontier: DataFrame, keep: Column | None = None, *, backward: bool = False, distinct: bool = False) -> DataFrame:
+def advance(graph: Graph, frontier: DataFrame, keep: Column | str | None = None, *, backward: bool = False, distinct: bool = False) -> DataFrame:
     """(src, dst, weight) of each edge that leaves (backward: enters) a frontier vertex, as often as the frontier repeats it, where `keep` holds."""
     near = "dst" if backward else "src"
     ids = _ids(frontier, near)
@@ -73,7 +73,7 @@ def edge_map_count(graph: Graph, frontier: DataFrame) -> DataFrame:
     return edge_map_reduce(graph, frontier, F.lit(1), "count")
 
 
-def pack_edges(graph: Graph, keep: Column) -> tuple[Graph, DataFrame]:
+def pack_edges(graph: Graph, keep: Column | str) -> tuple[Graph, DataFrame]:
     """The graph with only the edges where `keep` holds, and (id, n): how many each vertex kept, 0 included."""
     packed = Graph(graph.edges.where(keep), graph.vertices)
     return packed, packed.out_degree().withColumnRenamed("degree", "n")

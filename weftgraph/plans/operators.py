@@ -13,7 +13,7 @@ from weftgraph.plans.catalog import _SOME, BATCH, ONE, SOURCES, P, Q, _feat, _pa
 
 # -- frontiers ------------------------------------------------------------------------------------------------------------
 
-LIGHT = F.col("weight") < 10
+LIGHT = "weight < 10"
 
 
 @query(Q(_SOME + "SELECT src, dst, w AS weight FROM e JOIN k ON k.id = src WHERE w < 10"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
 from weftgraph.operators import frontier as fr
-from weftgraph.operators import messages, scheduling, structure, traversal
+from weftgraph.operators import messages, scheduling, structure, transforms, traversal
 from weftgraph.operators.fixpoint import Query, run_batch
 from weftgraph.sources import files
 
@@ -150,3 +150,16 @@ def test_metrics(spark, tmp_path):
     files.write_metrics(spark, [1.0, 3.0], str(tmp_path / "m"), [7], ["t"], engine="x")
     row = json.loads(next((tmp_path / "m").glob("part-*")).read_text())
     assert (row["mean_ms"], row["deviation_ms"], row["sources"], row["system"]["engine"]) == (2.0, 1.0, [7], "x")
+
+
+def test_laplacian_of_a_triangle(spark):
+    g = Graph(spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "src long, dst long"))
+    assert abs(transforms.laplacian_lambda_max(g, 4) - 1.5) < 1e-9
+
+
+def test_sources_by_distance(spark):
+    # a star into 0, which has the most out-edges, and a tail behind it
+    e = [(0, 50 + i) for i in range(9)] + [(i, 0) for i in range(1, 7)] + [(7, 1)]
+    found = got(scheduling.sources_by_distance(Graph(spark.createDataFrame(e, "src long, dst long")), 2, n_hubs=1))
+    hops = {0: 0, 7: 2} | {i: 1 for i in range(1, 7)}
+    assert [h for h, _ in found] == [0, 1, 1, 2] and all(hops[v] == h for h, v in found)

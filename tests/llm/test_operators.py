@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.conftest import DOCS, body
+from tests.llm.conftest import DOCS, body, sentence
 from weftgraph.llm import decontam, html, langid, minhash, mixing, nbsvm, pii, sentences, warc
 from weftgraph.llm import queries as q
 
@@ -114,6 +114,17 @@ def test_sentence_spans(spark):
     assert [got[i] for i in range(len(texts))] == brute_spans(texts, sentences.RUN, sentences.MIN_WORDS, sentences.ALONE)
 
 
+def test_sentence_spans_after_a_long_sentence(spark):
+    rng = random.Random(5)
+    passage = " ".join([sentence(rng, 36), sentence(rng, 16)])
+    alone = sentence(rng, 40)
+    texts = [body(rng, 3) + " " + passage + " " + body(rng, 2), body(rng, 2) + " " + passage + " " + body(rng, 3), passage, f"{sentence(rng)} {alone} {sentence(rng)}", f"{sentence(rng)} {alone} {sentence(rng)}"]
+    got = {r.doc_id: r.text for r in sentences.dedup_spans(frame(spark, texts)).collect()}
+    # plain runs of RUN sentences remove the whole passage, and a long sentence still goes by itself
+    assert got[0] == texts[0] and got[1] == texts[1].replace(passage + " ", "") and got[2] == ""
+    assert got[3] == texts[3] and got[4] == texts[4].replace(alone + " ", "")
+
+
 # -- decontamination -----------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """Substring dedup on sliding sentence spans.
 
-The run of `run` consecutive sentences at every sentence (more, until it has `min_words` words; fewer, if it has `ALONE`) is hashed (128 bits); the global join of the hashes
-finds spans that occur more than once. The first occurrence (smallest id, then earliest in the text) stays, and every
+The run of `run` consecutive sentences at every sentence (more, until it has `min_words` words) and every single sentence of `ALONE` words or more are
+hashed (128 bits); the global join of the hashes finds spans that occur more than once. The first occurrence (smallest id, then earliest in the text) stays, and every
 sentence that any later occurrence covers is removed. Sentences end at . ! ? after a word, or at a line end.
 Sentences compare without case and spacing.
 
@@ -48,17 +48,19 @@ def split(text: object) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def runs(counts: np.ndarray, hashes: np.ndarray, run: int, min_words: int, alone: int = ALONE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, sentence after the last, two 64-bit hashes) of the run that starts at each sentence.
+    """(first sentence, sentence after the last, two 64-bit hashes) of the runs that start at each sentence, in order of the first sentence.
 
-    A run has `run` sentences, more if these have fewer than min_words words, fewer if these reach `alone` words. Hashes are differences of prefix sums
-    weighted by powers of an odd base, so a run costs the same whatever its length.
+    A run has `run` sentences, more if these have fewer than min_words words; a sentence of `alone` words or more is a run by itself besides. Hashes are
+    differences of prefix sums weighted by powers of an odd base, so a run costs the same whatever its length.
     """
     before = np.concatenate([[0], np.cumsum(counts)])
     first = np.arange(len(counts))
     last = np.maximum(first + run, np.searchsorted(before, before[:-1] + min_words))
-    last = np.minimum(last, np.searchsorted(before, before[:-1] + alone))
-    whole = last <= len(counts)
-    first, last = first[whole], last[whole]
+    single = np.flatnonzero((counts >= alone) & (last > first + 1))
+    first, last = np.concatenate([first, single]), np.concatenate([last, single + 1])
+    order = np.argsort(first, kind="stable")
+    order = order[last[order] <= len(counts)]
+    first, last = first[order], last[order]
     out = []
     for k, base in enumerate((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)):
         power = np.cumprod(np.full(len(counts), base, U64))
@@ -71,7 +73,7 @@ def runs(counts: np.ndarray, hashes: np.ndarray, run: int, min_words: int, alone
 def _spans(run: int, min_words: int):
     def go(texts: list) -> list:
         got = [runs(*split(t)[1:], run, min_words) for t in texts]
-        return [[[{"at": a, "one": x, "two": y} for a, x, y in zip(g[0].tolist(), g[2].tolist(), g[3].tolist(), strict=True)] for g in got]]
+        return [[[{"at": a, "one": x, "two": y} for a, x, y in zip(range(len(g[0])), g[2].tolist(), g[3].tolist(), strict=True)] for g in got]]
 
     return lambda: go
 
@@ -80,7 +82,7 @@ _SPAN = pa.list_(pa.struct([("at", pa.int32()), ("one", pa.int64()), ("two", pa.
 
 
 def _cut(run: int, min_words: int):
-    """From one string per row, the starts of the runs to remove, comma-separated, a line feed, and the text."""
+    """From one string per row, the places (in runs()) of the runs to remove, comma-separated, a line feed, and the text."""
 
     def one(row: str | None) -> tuple[str | None, int, int, int]:
         if row is None:
@@ -90,9 +92,9 @@ def _cut(run: int, min_words: int):
         if not places:
             return text, len(at), 0, 0
         drop = np.zeros(len(at), bool)
-        ends = dict(zip(*runs(count, hashes, run, min_words)[:2], strict=True))
-        for s in map(int, places.split(",")):
-            drop[s : ends[s]] = True
+        first, last = runs(count, hashes, run, min_words)[:2]
+        for k in map(int, places.split(",")):
+            drop[first[k] : last[k]] = True
         raw = encode(text)
         bounds = np.concatenate([at, [len(raw)]])
         left = raw[: at[0]] + b"".join(raw[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(~drop))
@@ -113,7 +115,7 @@ def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, *,
     first = materialize(first.select("one", "two", "first"))
     repeated = spans.join(first, ["one", "two"])
     later = repeated.where((F.col("rk") != F.col("first.rk")) | (F.col("at") != F.col("first.at")))
-    # a document's own runs: as many as it has sentences, never a corpus-wide group
+    # a document's own runs: at most two for each sentence, never a corpus-wide group
     cuts = materialize(later.groupBy("rk").agg(F.array_sort(F.collect_set("at")).cast("array<string>").alias("__weft_at")).withColumnRenamed("rk", "__weft_rk"))
     keyed = docs.withColumn("__weft_rk", row_key(F.col(doc_id).cast("long"), F.col(text).cast("string")))
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "n_words_removed")]

@@ -139,6 +139,20 @@ def test_ricci_of_a_triangle_and_a_path(spark):
     assert labels.count() == 4 and q > -1
 
 
+def test_ricci_cuts_reach_every_weight(spark):
+    rng = random.Random(2)
+    pairs = [(a, b) for a in range(30) for b in range(a) if rng.random() < (0.4 if a // 10 == b // 10 else 0.03)]
+    flowed = spark.createDataFrame([(b, a, 0.5 + rng.random() * 9) for a, b in pairs], "u long, v long, w double")
+    w = sorted(r.w for r in flowed.collect())
+    cuts = ricci.cut_offs(flowed)
+    top = max(c for c in cuts if c not in w)
+    assert {x for x in w if x > top} < set(cuts) and min(cuts) - 0.25 < 1.1 * w[0] <= min(cuts) and len(cuts) > 8
+    both = Graph(flowed.selectExpr("u as src", "v as dst").unionByName(flowed.selectExpr("v as src", "u as dst")))
+    some = cuts[:: len(cuts) // 6]
+    want = [structure.modularity(both, structure.components(Graph(flowed.where(F.col("w") < c).selectExpr("u as src", "v as dst"), both.vertices))) for c in some]
+    assert ricci.cut_modularity(flowed, some, block=3) == pytest.approx(want)
+
+
 def test_geolocate(spark):
     g = Graph(spark.createDataFrame([(0, 1), (0, 2), (3, 1), (4, 0)], "src long, dst long"))
     places = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 90.0)], "id long, lat double, lon double")

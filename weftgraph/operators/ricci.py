@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
-from weftgraph.operators.structure import _both, components, modularity, undirected
+from weftgraph.operators.components import connected_components
+from weftgraph.operators.structure import components, undirected
 from weftgraph.plans.scratch import materialize, release
 
 
@@ -47,19 +48,65 @@ def ricci_flow(graph: Graph, iterations: int = 10) -> DataFrame:
     return out
 
 
-def ricci_communities(graph: Graph, iterations: int = 10, step: float = 0.25, max_cuts: int = 40) -> tuple[DataFrame, float]:
-    """((id, component), modularity) of the best cut of the flowed weights, from their 99.9th percentile downwards."""
+def cut_offs(flowed: DataFrame, step: float = 0.25) -> list[float]:
+    """Weights to cut (u, v, w) at: every weight above the 99.9th percentile, rising, then from it in steps down to 1.1 times the least weight."""
+    low, top = flowed.agg(F.min("w"), F.percentile("w", 0.999)).first()
+    if top is None:
+        return []
+    above = sorted(r.w for r in flowed.where(F.col("w") > top).select("w").distinct().collect())
+    below = [top]
+    while below[-1] - step >= 1.1 * low:
+        below.append(below[-1] - step)
+    return above + below
+
+
+def cut_modularity(flowed: DataFrame, cuts: list[float], block: int = 16) -> list[float]:
+    """For each cut, modularity() of the components of the edges (u, v, w) below it, over all edges.
+
+    Components only merge as the cut rises: blocks of cuts, lowest first, work on the edges between the components of the block before,
+    and the components of all cuts of a block are found at once.
+    """
+    spark = flowed.sparkSession
+    order = sorted(range(len(cuts)), key=cuts.__getitem__)
+    deg = _weighted(flowed).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    ends = flowed.join(deg.select(F.col("id").alias("u"), F.col("k").alias("ku")), "u").join(deg.select(F.col("id").alias("v"), F.col("k").alias("kv")), "v")
+    m2 = 2 * flowed.count()
+    left = materialize(ends.select("u", "v", "w", (2 * (1 - F.col("ku") * F.col("kv") / m2) / m2).alias("gain")))
+    inside, found = 0.0, [0.0] * len(cuts)
+    for at in range(0, len(order), block):
+        part = order[at : at + block]
+        grid = F.broadcast(spark.createDataFrame([(k, float(cuts[c])) for k, c in enumerate(part)], "k int, cut double"))
+        key = lambda c: F.struct("k", F.col(c).alias("id"))
+        kept = left.join(grid, F.col("w") < F.col("cut")).select(key("u").alias("src"), key("v").alias("dst"))
+        labels = materialize(connected_components(kept).select("vertex.k", "vertex.id", F.col("component.id").alias("label")))
+
+        def labelled(rows: DataFrame, labels: DataFrame = labels) -> DataFrame:
+            for c in ("u", "v"):
+                rows = rows.join(labels.select("k", F.col("id").alias(c), F.col("label").alias(f"l{c}")), ["k", c], "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+            return rows
+
+        same = labelled(left.crossJoin(grid)).where("lu = lv").groupBy("k").agg(F.sum("gain").alias("gain"))
+        for r in same.collect():
+            found[part[r.k]] = r.gain
+        for c in part:
+            found[c] += inside
+        inside = found[part[-1]]
+        merged = labelled(left.withColumn("k", F.lit(len(part) - 1))).where("lu <> lv")
+        merged = merged.groupBy(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).agg(F.min("w").alias("w"), F.sum("gain").alias("gain"))
+        fresh = materialize(merged)
+        release(left, labels)
+        left = fresh
+    release(left)
+    return found
+
+
+def ricci_communities(graph: Graph, iterations: int = 10, step: float = 0.25, max_cuts: int | None = None) -> tuple[DataFrame, float]:
+    """((id, component), modularity) of the best of the cut_offs() of the flowed weights; max_cuts: the first so many only."""
     flowed = materialize(ricci_flow(graph, iterations))
-    cut = flowed.agg(F.percentile("w", 0.999)).first()[0]
-    both = Graph(_both(flowed.select("u", "v")).select(F.col("id").alias("src"), F.col("other").alias("dst")), graph.vertices)
-    best, labels = float("-inf"), None
-    for _ in range(max_cuts):
-        if cut is None or cut <= 0:
-            break
-        kept = flowed.where(F.col("w") < cut).select(F.col("u").alias("src"), F.col("v").alias("dst"))
-        found = materialize(components(Graph(kept, graph.vertices)))
-        q = modularity(both, found)
-        if q > best:
-            best, labels = q, found
-        cut -= step
-    return labels if labels is not None else components(graph), best
+    cuts = cut_offs(flowed, step)[:max_cuts]
+    if not cuts:
+        return components(graph), float("-inf")
+    found = cut_modularity(flowed, cuts)
+    best = max(range(len(cuts)), key=found.__getitem__)
+    kept = flowed.where(F.col("w") < cuts[best]).select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    return components(Graph(kept, graph.vertices)), found[best]

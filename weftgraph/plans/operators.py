@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftgraph.graph import Graph
 from weftgraph.operators import frontier as fr
 from weftgraph.operators import messages, ranking, ricci, scheduling, structure, transforms, traversal
 from weftgraph.operators.fixpoint import Query, run_batch
@@ -176,8 +175,7 @@ def ppr_batch(spark, d):
 
 @query()
 def ricci_communities(spark, d):
-    e = fx.parts(spark, d).edges.where("src % 10 < 2 and dst % 10 < 2")
-    labels, quality = ricci.ricci_communities(Graph(e), 2, max_cuts=4)
+    labels, quality = ricci.ricci_communities(fx.parts(spark, d), 2)
     return labels.select("id", "component", F.round(F.lit(quality), 9).alias("modularity"))
 
 

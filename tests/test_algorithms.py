@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,31 @@ def test_pagerank_sums_to_one_and_settles(net):
     assert its[1] < its[0] < 100
 
 
+def test_pagerank_sweep_goes_on_until_l1_settles(net):
+    rows, g = net
+    ids = sorted({v for a, b, _ in rows for v in (a, b)})
+    at, settings, limit = {v: i for i, v in enumerate(ids)}, [(0.85, 1e-4), (0.5, 1e-6), (0.85, 1e-30)], 40
+    step = np.zeros((len(ids), len(ids)))
+    for a, b, _ in rows:
+        step[at[b], at[a]] = 1 / sum(a == x for x, _, _ in rows)
+    loose = step.sum(axis=0) == 0
+    want = {}
+    for run, (alpha, tol) in enumerate(settings):
+        rank, l1, top = np.full(len(ids), 1 / len(ids)), limit, limit
+        for it in range(1, limit + 1):
+            new = (1 - alpha + alpha * rank[loose].sum()) / len(ids) + alpha * step @ rank
+            delta, rank = np.abs(new - rank), new
+            l1, top = min(l1, it if delta.sum() < tol else limit), min(top, it if delta.max() < tol else limit)
+            if max(l1, top) <= it:
+                break
+        want[run] = (l1, top, rank)
+    ranks, info = ranking.pagerank_sweep(g, settings, limit)
+    assert {r.run: (r.l1_iterations, r.max_iterations) for r in info.collect()} == {k: v[:2] for k, v in want.items()}
+    assert want[0][1] < want[0][0] < limit
+    for r in ranks.collect():
+        assert r.rank == pytest.approx(want[r.run][2][at[r.id]], abs=1e-12)
+
+
 def test_personalized_pagerank_bound(net):
     _, g = net
     rows = ranking.personalized_pagerank(g.symmetric(), [0, 3], epsilon=1e-3).collect()

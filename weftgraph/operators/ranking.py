@@ -11,16 +11,21 @@ from weftgraph.plans.scratch import materialize, release
 
 def pagerank(graph: Graph, alpha: float = 0.85, tol: float = 1e-6, max_iterations: int = 100) -> DataFrame:
     """(id, rank), weighted: dangling mass is spread evenly; stops when no rank moves by tol or more."""
-    ranks, _ = pagerank_sweep(graph, [(alpha, tol)], max_iterations, weighted=True)
+    ranks, _ = _sweep(graph, [(alpha, tol)], max_iterations, weighted=True, l1=False)
     return ranks.select("id", "rank")
 
 
 def pagerank_sweep(graph: Graph, settings: list[tuple[float, float]], max_iterations: int = 100, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
     """One loop for a grid of (damping, tolerance): ranks (run, id, rank) and (run, alpha, tol, l1_iterations, max_iterations).
 
-    A run is frozen once the largest change is below its tolerance; the iterations at which the L1 and the largest change
-    first fell below it are recorded.
+    A run is frozen once both the L1 and the largest change have been below its tolerance; the iterations at which each first
+    fell below it are recorded, max_iterations where it never did.
     """
+    return _sweep(graph, settings, max_iterations, weighted, l1=True)
+
+
+def _sweep(graph: Graph, settings: list[tuple[float, float]], max_iterations: int, weighted: bool, l1: bool) -> tuple[DataFrame, DataFrame]:
+    """pagerank_sweep(); without l1 a run is frozen by its largest change alone."""
     spark = graph.edges.sparkSession
     grid = spark.createDataFrame([(i, float(a), float(t)) for i, (a, t) in enumerate(settings)], "run int, alpha double, tol double")
     n = graph.vertices.count()
@@ -45,10 +50,11 @@ def pagerank_sweep(graph: Graph, settings: list[tuple[float, float]], max_iterat
         moved = {r.run: r for r in fresh.groupBy("run").agg(F.sum("delta").alias("l1"), F.max("delta").alias("top")).collect()}
         stop = []
         for run, row in moved.items():
-            if row.l1 < settings[run][1]:
+            if row.l1 < settings[run][1] or it == max_iterations:
                 l1_at.setdefault(run, it)
             if row.top < settings[run][1] or it == max_iterations:
                 max_at.setdefault(run, it)
+            if run in max_at and (run in l1_at or not l1):
                 stop.append(run)
         release(ranks)
         if stop:

@@ -190,6 +190,19 @@ def test_pseudonyms_keep_their_format():
     assert pii.pseudonymize_text(clean, f) == (clean, [])
 
 
+@pytest.mark.parametrize("kind,value", [
+    ("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432"), ("phone", "06 12 34 56 78"), ("phone", "+33 6 12 34 56 78"), ("phone", "01.23.45.67.89"),
+    ("phone", "612 34 56 78"), ("phone", "+34 91 123 45 67"), ("date", "3/4/1987"), ("date", "7.11.2003"), ("date", "1987-3-4"), ("date", "2003-11-07"),
+])
+@pytest.mark.parametrize("before,after", [("", ""), ("see ", " BIC COBADEFF 2024 X."), ("DE12 CDEF GHIJ KLMN ", " and more")])
+def test_pseudonyms_of_other_forms(kind, value, before, after):
+    new, found = pii.pseudonymize_text(before + value + after, pii.Feistel(b"k"))
+    assert [k for k, _, _ in found] == [kind] and value not in new
+    assert new.startswith(before) and new.endswith(after) and re.sub(r"\w+", "", new) == re.sub(r"\w+", "", before + value + after)
+    if kind == "iban":
+        assert pii._mod97(new[found[0][1] : found[0][2]].replace(" ", "")) == 1
+
+
 # -- models -----------------------------------------------------------------------------------------------------------
 
 

@@ -29,13 +29,19 @@ _FIND = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-]))"
     r"|(?P<secret>(?<!\w)(?=[0-9a-fA-F]*[0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32})(?!\w))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?!\w))"
-    r"|(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.[0-9]))"
+    r"|(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-]|\.[0-9]))"
     r"|(?P<ipv4>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w-]|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|[.-][0-9]))"
-    r"|(?P<phone>(?<![\w.+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w]|[.-][0-9]))"
+    r"|(?P<phone>(?<![\w.+])(?:(?:\+[0-9]{1,3}[ .-]?(?:\(0\) ?)?[0-9]{1,2}|0[0-9])(?P<gap>[ .-])[0-9]{2}(?:(?P=gap)[0-9]{2}){3}"  # 06 12 34 56 78
+    r"|(?:\+[0-9]{1,3}[ .-]?)?(?:[6-9][0-9]{2}[ .-][0-9]{2}|[89][0-9][ .-][0-9]{3})(?:[ .-][0-9]{2}){2}"  # 612 34 56 78, 91 123 45 67
+    r"|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4})(?![\w]|[.-][0-9]))"
 )
 _RADIX = {**{c: (10, ord(c) - 48, "0") for c in "0123456789"}, **{chr(97 + i): (26, i, "a") for i in range(26)}, **{chr(65 + i): (26, i, "A") for i in range(26)}}
+_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+            23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+            29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}
+_IBAN_LENGTH = {c: n for n, countries in _LENGTHS.items() for c in countries.split()}
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -139,13 +145,24 @@ def _card(v: str, f: Feistel) -> str:
 
 
 def _iban(v: str, f: Feistel) -> str | None:
-    d = v.replace(" ", "")
-    if _mod97(d) != 1:
+    v = _iban_in(v)
+    if v is None:
         return None
+    d = v.replace(" ", "")
     body = f.text(d[4:], b"iban" + d[:2].encode())
     return _refill(v, d[:2] + f"{98 - _mod97(d[:2] + '00' + body):02d}" + body)
 
 
+def _iban_in(v: str) -> str | None:
+    """The IBAN that v starts with: the groups of its country's length or all of v, of an unknown country as many groups as validate."""
+    known = _IBAN_LENGTH.get(v[:2])
+    heads = [v[: m.start()] for m in re.finditer(r" |$", v)][::-1]
+    for head in [h for h in heads if len(h.replace(" ", "")) == known] + (heads[:1] if known else heads):
+        if 15 <= len(head.replace(" ", "")) and _mod97(head.replace(" ", "")) == 1:
+            return head
+    return None
+
+
 def _ipv4(v: str, f: Feistel) -> str | None:
     octets = [int(x) for x in v.split(".")]
     if max(octets) > 255 or any(len(x) > 1 and x[0] == "0" for x in v.split(".")):
@@ -155,7 +172,8 @@ def _ipv4(v: str, f: Feistel) -> str | None:
 
 
 def _date(v: str, f: Feistel) -> str | None:
-    form = "%Y-%m-%d" if v[4] == "-" else "%d/%m/%Y" if v[2] == "/" else "%d.%m.%Y"
+    form = "%Y-%m-%d" if "-" in v else "%d/%m/%Y" if "/" in v else "%d.%m.%Y"
+    short = len(v) < 10
     for form in (form, "%m/%d/%Y") if "/" in v else (form,):
         try:
             day = datetime.datetime.strptime(v, form).toordinal()
@@ -163,7 +181,8 @@ def _date(v: str, f: Feistel) -> str | None:
             continue
         if _FIRST_DAY <= day <= _LAST_DAY:
             new = _FIRST_DAY + f.number(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, b"date")
-            return datetime.date.fromordinal(new).strftime(form)
+            new = datetime.date.fromordinal(new).strftime(form)
+            return re.sub(r"\b0", "", new) if short else new
     return None
 
 
@@ -202,15 +221,20 @@ def pseudonymize_text(text: object, feistel: Feistel) -> tuple[str | None, list[
     out: list[str] = []
     found: list[tuple[str, int, int]] = []
     at = length = 0
-    for m in _FIND.finditer(text):
-        new = _MAKE[m.lastgroup](m[0], feistel)
+    m = _FIND.search(text)
+    while m:
+        kind, end = m.lastgroup, m.end()
+        new = _MAKE[kind](m[0], feistel)
+        if kind == "iban":  # what follows its groups, or the first group of none, is not part of it
+            end = m.start() + (len(new) if new else len(m[0].partition(" ")[0]))
+        start, m = m.start(), _FIND.search(text, end)
         if new is None:
             continue
-        out += [text[at : m.start()], new]
-        length += m.start() - at
-        found.append((m.lastgroup, length, length + len(new)))
+        out += [text[at:start], new]
+        length += start - at
+        found.append((kind, length, length + len(new)))
         length += len(new)
-        at = m.end()
+        at = end
     return ("".join(out) + text[at:], found) if found else (text, [])
 
 

@@ -95,6 +95,52 @@ def test_components_on_a_chain(spark):
     assert run_batch(Graph(e), [Query(0, "wcc")], mode="push").completion[0] >= 49
 
 
+@pytest.mark.parametrize("options", [{"mode": "hybrid"}, {"mode": "push"}, {"mode": "pull"}, {"max_iterations": 50}])
+def test_labels_beyond_doubles(spark, options):
+    b = 2**53
+    g = graph(spark, [(b + 1, b), (b + 5, b + 3)])
+    found = run_batch(g, [Query(0, "wcc"), Query(1, "bfs", b + 5)], **options)
+    assert {r.vertex: r.label for r in found.state.where("query_id = 0").collect()} == {b: b, b + 1: b, b + 3: b + 3, b + 5: b + 3}
+    assert values(found, 1) == {b + 5: 0, b + 3: 1}
+
+
+def test_more_queries_than_columns_and_split_hubs(spark):
+    rng = random.Random(4)
+    edges = [(0, rng.randrange(60), float(rng.randint(1, 9))) for _ in range(80)] + [(rng.randrange(60), rng.randrange(60), float(rng.randint(1, 9))) for _ in range(120)]
+    kinds = ["bfs", "sssp", "sswp", "ssnp", "viterbi"]
+    queries = [Query(i, kinds[i % 5], edges[i + 80][0]) for i in range(9)]
+    for options in ({"width": 3}, {"width": 2, "slots": 3}, {"hub_edges": 7}, {"mode": "shared", "width": 4}):
+        found = run_batch(graph(spark, edges), queries, **options)
+        for q in queries:
+            assert values(found, q.query_id) == pytest.approx(brute(edges, q.kind, q.source))
+
+
+def test_levels_write_their_frontier_only(spark):
+    """A long path beside a large finished part: late levels write one row, not the state."""
+    star = [(0, i) for i in range(1, 4000)]
+    path = [(0, 10_000)] + [(10_000 + i, 10_001 + i) for i in range(12)]
+    found = run_batch(graph(spark, star + path), [Query(0, "bfs", 0), Query(1, "sssp", 0)], mode="push", profile=True)
+    bytes_by_level = {p["iteration"]: (p["frontier_size"], p["bytes_written"]) for p in found.profiles}
+    assert max(b for i, (_, b) in bytes_by_level.items() if i > 1) * 4 < bytes_by_level[0][1]
+    assert len(values(found, 0)) == 4013 and found.completion == {0: 13, 1: 13}
+
+
+def test_options_of_a_batch(spark):
+    g = graph(spark, TOY)
+    found = run_batch(g, [Query(0, "bfs", 0)], discard_results=True, variant="warp")
+    assert found.state.isEmpty() and found.completion == {0: 2} and found.completed == {0: True} and found.variant == "warp"
+    with pytest.raises(ValueError):
+        run_batch(g, [Query(0, "bfs", 0)], variant="sideways")
+
+
+def test_dense_levels_by_pairs_and_by_edges(spark):
+    g = graph(spark, [(0, 1), (1, 2), *[(2, i) for i in range(3, 30)]])
+    modes = lambda **o: [p["mode"] for p in run_batch(g, [Query(0, "bfs", 0)], profile=True, **o).profiles]
+    assert modes() == ["push", "push", "pull", "pull"]  # level 2: one vertex holds most edges; level 3: most vertices
+    assert modes(pull_edges=2.0) == ["push", "push", "push", "pull"]
+    assert modes(pull_edges=2.0, pull_share=2.0) == ["push"] * 4
+
+
 def test_hub_scheduling(spark):
     g = graph(spark, [(0, 1), (0, 2), (0, 3), (4, 0), (5, 4), (6, 5)])
     assert {r.id: r.hops for r in fixpoint.hops_to_hubs(g, 1).collect()} == {0: 0, 4: 1, 5: 2, 6: 3}

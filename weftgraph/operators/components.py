@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u > v").distinct()
     e = materialize(e)
     before = _checksum(e)
-    for _ in range(max_rounds):
+    for rounds in range(1, max_rounds + 1):
         nxt = materialize(_small_star(_large_star(e)))
         release(e)
         e, after = nxt, _checksum(nxt)
@@ -45,4 +45,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots)
+    out = e.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots)
+    out._weft_path, out._weft_rounds = e._weft_path, rounds  # release() deletes the last round's rows
+    return out

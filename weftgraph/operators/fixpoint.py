@@ -1,25 +1,33 @@
 """Batches of path queries over one graph as one semi-naive fixpoint.
 
-All queries of a batch share each level's scan of the edges: state(query_id, vertex, value, level) is keyed by the
-query, so a level is one join and one aggregate for the whole batch, whatever the mix of kinds. Only rows
-that improved in the last level (the frontier) are joined again in push mode; pull joins the whole state and is right on
-directed graphs too; hybrid picks by the share of vertices in the frontier. All three give equal results.
+All queries of a batch share each level's scan of the edges, and share rows as well: a state row holds one vertex and the values of up to
+WIDTH queries (a block), so a level is one join and one aggregate of WIDTH minima per edge and block, whatever the mix of kinds.
 
-Every kind is a Semiring of Column expressions, so Catalyst sees the whole step: a candidate is extended along an edge, the
-best candidate of a vertex is kept (map-side combined), and rows that beat the state form the next frontier.
+The state is a log. A level writes only what improved (its frontier); candidates are compared with the state of the touched vertices, which a
+semi-join picks from the log, and the log is compacted every COMPACT levels. Edges are written once, bucketed by source, and are never
+shuffled again; vertices of more than HUB_EDGES edges are split over several buckets.
+
+push joins the frontier, pull the whole state; both are right on directed graphs. hybrid extends the frontier in both cases, sparse levels
+by Spark's own choice of join (broadcast below its size limit), dense ones by a merge join on the buckets. All modes give equal results.
+
+Every kind is a Semiring of Column expressions, so Catalyst sees the whole step. Values are doubles; components are found on dense ranks or by
+contraction and come back in the long column `label`, exact for any id.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
-from weftgraph.plans.scratch import materialize, release
+from weftgraph.operators.components import connected_components
+from weftgraph.plans.prefix import dense_ids
+from weftgraph.plans.scratch import bucketed, materialize, release, reread
 
 
 @dataclass(frozen=True)
@@ -46,8 +54,11 @@ SEMIRINGS = {
         Semiring("viterbi", lambda v, w: v / w, 1.0, sign=-1),
     )
 }
-PULL_SHARE = 0.15
-SLOTS = 64
+#: Shares of pairs (or distinct vertices) and of edges from which a hybrid level counts as dense.
+PULL_SHARE, PULL_EDGES = 0.15, 0.20
+WIDTH, COMPACT, HUB_EDGES = 16, 8, 1_000_000
+#: Names of push strategies. They differ in how threads share a level's edges, which AQE decides here; the name is checked and recorded.
+VARIANTS = ("edge_balanced", "shared_node", "query_parallel", "warp", "degree_bucketed")
 
 
 @dataclass(frozen=True)
@@ -60,17 +71,18 @@ class Query:
 
 @dataclass
 class BatchResult:
-    state: DataFrame  # query_id, vertex, value: reached rows only
+    state: DataFrame  # query_id, kind, vertex, value, label: reached rows only; label (long) is set for wcc and labels
     completion: dict[int, int]  # levels after which each query had settled, counted from its own start
     profiles: list[dict] = field(default_factory=list)
     completed: dict[int, bool] = field(default_factory=dict)
+    variant: str = VARIANTS[0]
 
     def results(self, spark: SparkSession, queries: list[Query]) -> DataFrame:
         rows = [(q.query_id, q.kind, q.source, self.completion.get(q.query_id), self.completed.get(q.query_id, False)) for q in queries]
         return spark.createDataFrame(rows, "query_id long, kind string, source long, completion_level int, completed boolean")
 
     def profile_table(self, spark: SparkSession) -> DataFrame:
-        cols = "iteration int, mode string, frontier_size long, unique_frontier_size long, virtual_edges long, actual_edges long, active_queries int, wall_ms double"
+        cols = "iteration int, mode string, frontier_size long, unique_frontier_size long, virtual_edges long, actual_edges long, active_queries int, bytes_written long, wall_ms double"
         return spark.createDataFrame([tuple(p[c.split()[0]] for c in cols.split(", ")) for p in self.profiles], cols)
 
 
@@ -88,127 +100,306 @@ def check(queries: list[Query], graph: Graph, slots: int | None) -> None:
         raise ValueError("slots must be at least 1 and hold all whole-graph queries, which can't wait")
     wanted = sorted({q.source for q in queries if not SEMIRINGS[q.kind].all_vertices})
     if wanted:
-        spark = graph.edges.sparkSession
-        asked = spark.createDataFrame([(s,) for s in wanted], "id long")
-        missing = [r.id for r in asked.join(graph.vertices, "id", "left_anti").collect()]
+        known = graph.edges.select(F.explode(F.array("src", "dst")).alias("id")) if graph.implicit else graph.vertices
+        found = {r.id for r in known.where(F.col("id").isin(wanted)).distinct().collect()}
+        missing = [s for s in wanted if s not in found]
         if missing:
             raise ValueError(f"sources {missing[:5]} are not vertices")
 
 
-def _seeds(queries: list[Query], graph: Graph, level: int) -> DataFrame | None:
-    """State rows with which queries start."""
-    spark = graph.edges.sparkSession
-    single = [(q.query_id, q.kind, q.source, float(SEMIRINGS[q.kind].start if q.source_value is None else q.source_value)) for q in queries if not SEMIRINGS[q.kind].all_vertices]
-    out = spark.createDataFrame(single, "query_id long, kind string, vertex long, value double") if single else None
-    for q in queries:
-        if SEMIRINGS[q.kind].all_vertices:
-            rows = graph.vertices.select(F.lit(q.query_id).cast("long").alias("query_id"), F.lit(q.kind).alias("kind"), F.col("id").alias("vertex"), F.col("id").cast("double").alias("value"))
-            out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("level", F.lit(level)) if out is not None else None
-
-
-def _per_kind(pick: Callable[[Semiring], Column], kinds: set[str]) -> Column:
-    out: Column | None = None
-    for k in sorted(kinds):
-        out = pick(SEMIRINGS[k]) if out is None else F.when(F.col("kind") == k, pick(SEMIRINGS[k])).otherwise(out)
-    return out
+class _Lanes:
+    """Which query each (block, column) of the state belongs to, and the Column expressions that follow from it."""
+
+    def __init__(self, width: int):
+        self.width, self.queries = width, []
+        self.names = [f"v{k}" for k in range(width)]
+        self.schema = ", ".join(["block int", "vertex long", *[f"{n} double" for n in self.names]])
+
+    def add(self, q: Query) -> int:
+        self.queries.append(q)
+        return len(self.queries) - 1
+
+    def seed_rows(self, lanes: list[int]) -> list[tuple]:
+        rows = []
+        for lane in lanes:
+            q, s = self.queries[lane], SEMIRINGS[self.queries[lane].kind]
+            value = s.sign * (s.start if q.source_value is None else float(q.source_value))
+            rows.append((lane // self.width, q.source, *[value if k == lane % self.width else None for k in range(self.width)]))
+        return rows
+
+    def extended(self, k: int, two_ways: bool) -> Column:
+        """The candidate that column k offers along an edge; the kind depends on the block."""
+        kinds = {b: q.kind for b, q in enumerate(self.queries[k :: self.width])}
+        out: Column | None = None
+        for kind in sorted(set(kinds.values())):
+            s = SEMIRINGS[kind]
+            c = F.lit(s.sign) * s.extend(F.lit(s.sign) * F.col(f"v{k}"), F.col("weight")) if s.sign < 0 else s.extend(F.col(f"v{k}"), F.col("weight"))
+            c = F.when(F.col(f"v{k}").isNotNull() & (F.lit(True) if s.both_ways or not two_ways else ~F.col("back")), c)
+            here = F.col("block").isin([b for b, x in kinds.items() if x == kind])
+            out = c if out is None else F.when(here, c).otherwise(out)
+        return F.lit(None).cast("double") if out is None else out
+
+    def least(self, df: DataFrame) -> DataFrame:
+        return df.groupBy("block", "vertex").agg(*[F.min(n).alias(n) for n in self.names])
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = [(i, q.query_id, q.kind, SEMIRINGS[q.kind].sign) for i, q in enumerate(self.queries)]
+        return spark.createDataFrame(rows, "lane int, query_id long, kind string, sign int")
+
+
+class _Log:
+    """The state: one written frame for each level since the last compaction, and small seed frames."""
+
+    def __init__(self, lanes: _Lanes, spark: SparkSession):
+        self.lanes, self.spark = lanes, spark
+        self.written: list[DataFrame] = []
+        self.seeds: list[tuple] = []
+
+    def rows(self) -> DataFrame:
+        """All rows, several for a vertex."""
+        parts = [reread(self.written[0], [w._weft_path for w in self.written])] if self.written else []
+        if self.seeds or not parts:
+            parts.append(self.spark.createDataFrame(self.seeds, self.lanes.schema))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def compact(self) -> None:
+        fresh = materialize(self.lanes.least(self.rows()))
+        release(*self.written)
+        self.written, self.seeds = [fresh], []
+
+
+def _edges(graph: Graph, two_ways: bool, hub_edges: int) -> tuple[DataFrame, DataFrame | None, int, int]:
+    """(edges bucketed by source, the split vertices (vertex, part) or None, number of edges, largest out-degree)."""
+    e = graph.edges
+    if two_ways:
+        e = e.withColumn("back", F.lit(False)).unionByName(graph.reverse().edges.withColumn("back", F.lit(True)))
+    out = bucketed(e, "src")
+    stats = out.groupBy("src").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("m"), F.max("n").alias("top")).first()
+    if (stats.top or 0) <= hub_edges:
+        return out, None, stats.m or 0, stats.top or 0
+    hubs = out.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / hub_edges).cast("int").alias("parts")).where("parts > 1")
+    hubs = materialize(hubs)  # at most one row for each hub_edges edges
+    split = out.join(F.broadcast(hubs), "src", "left").withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    again = bucketed(split, "src", "part")
+    release(out)
+    return again, hubs, stats.m, stats.top
+
+
+def _ranked(graph: Graph) -> DataFrame:
+    return materialize(dense_ids(graph.vertices, "id", "rank"))
 
 
 def run_batch(
     graph: Graph, queries: list[Query], *, mode: str = "hybrid", max_iterations: int = 0, slots: int | None = None, profile: bool = False,
-    start_level: dict[int, int] | None = None, pull_share: float = PULL_SHARE,
+    start_level: dict[int, int] | None = None, pull_share: float = PULL_SHARE, pull_edges: float = PULL_EDGES, discard_results: bool = False,
+    variant: str = VARIANTS[0], width: int = WIDTH, hub_edges: int = HUB_EDGES,
 ) -> BatchResult:
     """Answer all queries. slots: at most so many run at once, the next one starts when one has settled (None: all at once).
 
     start_level delays queries by that many levels. max_iterations > 0 stops early; queries that had not settled keep
-    their partial values and count as not completed.
+    their partial values and count as not completed. discard_results keeps completion and profiles only.
+
+    A hybrid level is dense if the frontier's pairs reach pull_share of queries times vertices, or their edges pull_edges of queries times edges;
+    batches of several kinds or with slots go by distinct frontier vertices alone. A wcc query of a hybrid batch without limit or profile is
+    answered by contraction, which takes a few rounds on any diameter; its completion counts those rounds.
     """
     if mode not in ("push", "pull", "hybrid", "shared"):
         raise ValueError(f"unknown mode {mode!r}")
+    if variant not in VARIANTS:
+        raise ValueError(f"unknown push variant {variant!r}")
     spark = graph.edges.sparkSession
     # the graph's own plan runs once: checks, counts and levels read what it gave
-    base = materialize(graph.edges.distinct().repartition("src"))
+    base = materialize(graph.edges.distinct())
     graph = Graph(base, None if graph.implicit else graph.vertices)
+    edges = hubs = ranks = None
+    pool = ThreadPoolExecutor(1)
     try:
         check(queries, graph, slots)
-    except ValueError:
-        release(base)
-        raise
-    kinds = {q.kind for q in queries}
-    edges = graph.edges.withColumn("back", F.lit(False))
-    if any(SEMIRINGS[k].both_ways for k in kinds):
-        edges = edges.unionByName(graph.reverse().edges.withColumn("back", F.lit(True)))
-        edges = materialize(edges.repartition("src"))
-    n_vertices = graph.vertices.count() if mode == "hybrid" else 0
-    degree = edges.where("not back").groupBy(F.col("src").alias("vertex")).agg(F.count(F.lit(1)).alias("degree")) if profile else None
-
-    first = sorted(queries, key=lambda q: not SEMIRINGS[q.kind].all_vertices) if slots else list(queries)
-    delays = start_level or {}
-    running: dict[int, int] = {}
+        contracted = [q for q in queries if q.kind == "wcc"] if mode == "hybrid" and not (max_iterations or profile) else []
+        side = pool.submit(_contract, graph) if contracted else None
+        queries = [q for q in queries if q not in contracted]
+        kinds = {q.kind for q in queries}
+        two_ways = any(SEMIRINGS[k].both_ways for k in kinds)
+        result = BatchResult(_empty(spark), {}, variant=variant)
+        if queries:
+            edges, hubs, n_edges, top = _edges(graph, two_ways, hub_edges)
+            if any(SEMIRINGS[k].all_vertices for k in kinds):
+                ranks = _ranked(graph)
+            counts = (graph.vertices.count() if mode == "hybrid" or ranks is not None else 0, n_edges, top)
+            result = _levels(spark, edges, hubs, ranks, counts, queries, two_ways, mode, max_iterations, slots, profile, start_level or {}, pull_share, pull_edges, min(width, len(queries)))
+            result.variant = variant
+            if discard_results:
+                result.state = _empty(spark)
+        if side:
+            found, rounds = side.result()
+            for q in contracted:
+                result.completion[q.query_id], result.completed[q.query_id] = rounds, True
+                if not discard_results:
+                    rows = found.select(F.lit(q.query_id).cast("long").alias("query_id"), F.lit(q.kind).alias("kind"), F.col("id").alias("vertex"), F.col("label").cast("double").alias("value"), "label")
+                    result.state = result.state.unionByName(rows) if queries or q is not contracted[0] else rows
+        return result
+    finally:
+        pool.shutdown(wait=True)
+        release(edges, hubs, base)
+
+
+def _empty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "query_id long, kind string, vertex long, value double, label long")
+
+
+def _contract(graph: Graph) -> tuple[DataFrame, int]:
+    """(id, label) by star contraction, and its rounds."""
+    found = connected_components(graph.edges)
+    labels = graph.vertices.join(found.withColumnRenamed("vertex", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("label"))
+    out = materialize(labels)
+    rounds = found._weft_rounds
+    release(found)
+    return out, rounds
+
+
+def _levels(spark, edges, hubs, ranks, counts, queries, two_ways, mode, max_iterations, slots, profile, delays, pull_share, pull_edges, width) -> BatchResult:  # noqa: PLR0913
+    lanes = _Lanes(width)
+    log = _Log(lanes, spark)
+    n_vertices, n_edges, top = counts
+    whole = lambda q: SEMIRINGS[q.kind].all_vertices
+    # like kinds share blocks, so that a column's expression seldom depends on the block
+    pending = sorted(queries, key=lambda q: not whole(q)) if slots else sorted(queries, key=lambda q: q.kind)
+    one_kind = len({q.kind for q in queries}) == 1 and not slots
+    running: dict[int, int] = {}  # lane -> level at which its query started
     done: dict[int, int] = {}
-    pending = list(first)
-    sign = lambda: _per_kind(lambda s: F.lit(s.sign), kinds)
+    degree = edges.where("not back") if two_ways else edges
+    degree = degree.groupBy(F.col("src").alias("vertex")).agg(F.count(F.lit(1)).alias("degree"))
 
-    def admit(level: int) -> list[Query]:
+    def admit(level: int) -> list[int]:
         chosen = []
         for q in list(pending):
             if slots is not None and len(running) >= slots:
                 break
             if delays.get(q.query_id, 0) <= level:
                 pending.remove(q)
-                running[q.query_id] = level
-                chosen.append(q)
+                lane = lanes.add(q)
+                running[lane] = level
+                chosen.append(lane)
         return chosen
 
-    level = 0
-    state = materialize(_seeds(admit(0), graph, 0) if pending else spark.createDataFrame([], "query_id long, kind string, vertex long, value double, level int"))
-    profiles: list[dict] = []
+    def seeded(chosen: list[int]) -> list[DataFrame]:
+        """Frontier rows of queries that start now; they join the log."""
+        out = []
+        single = lanes.seed_rows([i for i in chosen if not whole(lanes.queries[i])])
+        if single:
+            log.seeds += single
+            out.append(spark.createDataFrame(single, lanes.schema))
+        for i in [i for i in chosen if whole(lanes.queries[i])]:
+            cells = [(F.col("rank").cast("double") if k == i % width else F.lit(None).cast("double")).alias(n) for k, n in enumerate(lanes.names)]
+            log.written.append(materialize(ranks.select(F.lit(i // width).alias("block"), F.col("rank").cast("long").alias("vertex"), *cells)))
+            out.append(log.written[-1])
+        return out
+
+    # whole-graph kinds run on dense ranks, so labels are exact as doubles; every vertex of the state is then a rank
+    if ranks is not None:
+        number = lambda c: ranks.select(F.col("key").alias(c), F.col("rank").alias(f"__{c}"))
+        kept = [c for c in edges.columns if c not in ("src", "dst")]
+        moved = edges.join(number("src"), "src").join(number("dst"), "dst").select(F.col("__src").alias("src"), F.col("__dst").alias("dst"), *kept)
+        edges = bucketed(moved, "src", *(["part"] if hubs is not None else []))
+        asked = {q.source for q in queries if not whole(q)}
+        at = {r.key: r.rank for r in ranks.where(F.col("key").isin(sorted(asked))).collect()} if asked else {}
+        pending = [q if whole(q) else Query(q.query_id, q.kind, at[q.source], q.source_value) for q in pending]
+        degree = (edges.where("not back") if two_ways else edges).groupBy(F.col("src").alias("vertex")).agg(F.count(F.lit(1)).alias("degree"))
+        if hubs is not None:
+            hubs = hubs.join(number("src"), "src").select(F.col("__src").alias("src"), "parts")
+
+    level, profiles = 0, []
+    delta: DataFrame | None = None
+    live: dict[int, int] = {}
+    n_rows = 0
     while running or pending:
         started = time.perf_counter()
-        frontier = state.where(F.col("level") == level)
-        live = {r.query_id: r.n for r in frontier.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-        for q in [q for q in running if q not in live]:
-            done[q] = max(0, level - running.pop(q) - 1)
+        for lane in [i for i in running if i not in live]:
+            done[lanes.queries[lane].query_id] = max(0, level - running.pop(lane) - 1)
         new = admit(level)
-        if new:
-            grown = materialize(state.unionByName(_seeds(new, graph, level)))
-            release(state)
-            state = grown
-            frontier = state.where(F.col("level") == level)
-            live |= {q.query_id: n_vertices if SEMIRINGS[q.kind].all_vertices else 1 for q in new}
+        fronts = ([delta] if live else []) + seeded(new)
+        for i in new:
+            live[i] = n_vertices if whole(lanes.queries[i]) else 1
+            n_rows += live[i]
         if not live and not pending:
             break
         if max_iterations and level >= max_iterations:
             break
-        # distinct vertices are no more than pairs, so small frontiers need no count
+        if not live:  # only delayed queries are left
+            level += 1
+            continue
+        frontier = fronts[0]
+        for f in fronts[1:]:
+            frontier = frontier.unionByName(f)
         pairs = sum(live.values())
-        unique = frontier.select("vertex").distinct().count() if profile or mode == "hybrid" and pairs >= pull_share * n_vertices else 0
-        now = mode if mode != "hybrid" else "pull" if unique and unique >= pull_share * n_vertices else "push"
-        source = state if now == "pull" else frontier
-        if now == "shared":  # one frontier for all queries: a vertex that improved for one is extended for each that reached it
-            source = state.join(frontier.select("vertex").distinct(), "vertex", "left_semi")
-        step = source.join(edges, source["vertex"] == edges["src"])
-        step = step.where(_per_kind(lambda s: F.lit(True) if s.both_ways else ~F.col("back"), kinds))
-        step = step.select("query_id", "kind", F.col("dst").alias("vertex"), (_per_kind(lambda s: s.extend(F.col("value"), F.col("weight")), kinds) * sign()).alias("cand"))
-        best = step.groupBy("query_id", "kind", "vertex").agg(F.min("cand").alias("cand"))
-        old = state.withColumnRenamed("level", "old_level")
-        joined = old.join(best, ["query_id", "kind", "vertex"], "full_outer")
-        better = F.col("cand").isNotNull() & (F.col("value").isNull() | (F.col("cand") < F.col("value") * sign()))
-        nxt = joined.select("query_id", "kind", "vertex", F.when(better, F.col("cand") * sign()).otherwise(F.col("value")).alias("value"), F.when(better, level + 1).otherwise(F.col("old_level")).cast("int").alias("level"))
-        fresh = materialize(nxt)
+        n_blocks = len({i // width for i in live})
+        unique = -1
+        if profile or mode == "hybrid" and not one_kind and n_rows >= pull_share * n_vertices:
+            unique = n_rows if n_blocks == 1 and not new else frontier.select("vertex").distinct().count()
+        held = sum((F.col(n).isNotNull().cast("long") for n in lanes.names[1:]), F.col("v0").isNotNull().cast("long"))
+        work = frontier.select("vertex", held.alias("k")).groupBy("vertex").agg(F.sum("k").alias("k")).join(degree, "vertex")
+        now = mode
+        if mode == "hybrid":
+            dense = unique >= pull_share * n_vertices
+            if one_kind:
+                dense = pairs >= pull_share * len(queries) * n_vertices
+                if not dense and pairs * top >= pull_edges * len(queries) * n_edges:  # else the edges can't reach their share
+                    dense = (work.agg(F.sum(F.col("k") * F.col("degree"))).first()[0] or 0) >= pull_edges * len(queries) * n_edges
+            now = "pull" if dense else "push"
+        source = frontier
+        if mode == "pull":
+            source = lanes.least(log.rows())
+        elif mode == "shared":  # one frontier for all queries: a vertex that improved for one is extended for each that reached it
+            source = lanes.least(log.rows().join(frontier.select("vertex").distinct(), "vertex", "left_semi"))
+        if hubs is not None:
+            parts = F.coalesce("parts", F.lit(1))
+            source = source.join(F.broadcast(hubs.withColumnRenamed("src", "vertex")), "vertex", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        on = (source["vertex"] == edges["src"]) & (source["part"] == edges["part"]) if hubs is not None else source["vertex"] == edges["src"]
+        step = (source.hint("merge") if now == "pull" else source).join(edges, on)
+        step = step.select("block", F.col("dst").alias("vertex"), *[lanes.extended(k, two_ways).alias(n) for k, n in enumerate(lanes.names)])
+        best = lanes.least(step)
+        # the state of the touched vertices only
+        old = lanes.least(log.rows().join(best.select("block", "vertex"), ["block", "vertex"], "left_semi"))
+        old = old.select("block", "vertex", *[F.col(n).alias(f"o{n}") for n in lanes.names])
+        better = [F.when(F.col(f"o{n}").isNull() | (F.col(n) < F.col(f"o{n}")), F.col(n)).alias(n) for n in lanes.names]
+        fresh = best.join(old, ["block", "vertex"], "left").select("block", "vertex", *better).where(F.coalesce(*lanes.names).isNotNull())
+        nxt = materialize(fresh)
+        count = nxt.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), *[F.count(n).alias(n) for n in lanes.names]).collect()
         if profile:
-            work = frontier.join(degree, "vertex")
-            virtual = work.agg(F.sum("degree")).first()[0] or 0
-            actual = work.select("vertex", "degree").distinct().agg(F.sum("degree")).first()[0] or 0
-            profiles.append({"iteration": level, "mode": now, "frontier_size": pairs, "unique_frontier_size": unique, "virtual_edges": virtual, "actual_edges": actual, "active_queries": len(live), "wall_ms": 1000 * (time.perf_counter() - started)})
-        release(state)
-        state = fresh
+            row = work.agg(F.sum(F.col("k") * F.col("degree")), F.sum("degree")).first()
+            profiles.append({"iteration": level, "mode": now, "frontier_size": pairs, "unique_frontier_size": unique, "virtual_edges": row[0] or 0, "actual_edges": row[1] or 0,
+                             "active_queries": len(live), "bytes_written": _bytes(spark, nxt._weft_path), "wall_ms": 1000 * (time.perf_counter() - started)})
+        n_rows = sum(r.rows for r in count)
+        live = {r.block * width + k: r[n] for r in count for k, n in enumerate(lanes.names) if r[n]}
+        log.written.append(nxt)
+        delta = nxt
         level += 1
+        if len(log.written) > COMPACT:
+            log.written.pop()
+            log.compact()  # all but the frontier, which the next level reads by itself
+            log.written.append(nxt)
     completed = dict.fromkeys(done, True)
-    for q in running:
-        done[q], completed[q] = level - running[q], False
-    release(edges, base)
-    return BatchResult(state.select("query_id", "kind", "vertex", "value"), done, profiles, completed)
+    for lane, at_level in running.items():
+        q = lanes.queries[lane].query_id
+        done[q], completed[q] = level - at_level, False
+    log.compact()
+    cells = log.written[0].select("block", "vertex", F.posexplode(F.array(*lanes.names)).alias("k", "value")).where("value is not null")
+    cells = cells.withColumn("lane", F.col("block") * width + F.col("k")).join(F.broadcast(lanes.table(spark)), "lane")  # one row for each query
+    state = cells.select("query_id", "kind", "vertex", (F.col("value") * F.col("sign")).alias("value"))
+    if ranks is None:
+        return BatchResult(state.withColumn("label", F.lit(None).cast("long")), done, profiles, completed)
+    names = ranks.select(F.col("rank").alias("vertex"), F.col("key").alias("id"))
+    labels = ranks.select(F.col("rank").alias("r"), F.col("key").alias("label"))
+    label_kinds = F.col("kind").isin([s.kind for s in SEMIRINGS.values() if s.all_vertices])
+    state = state.join(names, "vertex").withColumn("r", F.when(label_kinds, F.col("value").cast("long"))).join(labels, "r", "left")
+    state = materialize(state.select("query_id", "kind", F.col("id").alias("vertex"), F.coalesce(F.col("label").cast("double"), "value").alias("value"), "label"))
+    release(edges, ranks, *log.written)
+    return BatchResult(state, done, profiles, completed)
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
 def parents(graph: Graph, result: BatchResult) -> DataFrame:

@@ -109,7 +109,7 @@ def test_more_queries_than_columns_and_split_hubs(spark):
     edges = [(0, rng.randrange(60), float(rng.randint(1, 9))) for _ in range(80)] + [(rng.randrange(60), rng.randrange(60), float(rng.randint(1, 9))) for _ in range(120)]
     kinds = ["bfs", "sssp", "sswp", "ssnp", "viterbi"]
     queries = [Query(i, kinds[i % 5], edges[i + 80][0]) for i in range(9)]
-    for options in ({"width": 3}, {"width": 2, "slots": 3}, {"hub_edges": 7}, {"mode": "shared", "width": 4}):
+    for options in ({"width": 3}, {"width": 2, "slots": 3}, {"hub_edges": 7}, {"mode": "shared", "width": 4, "touch_rows": 0}):
         found = run_batch(graph(spark, edges), queries, **options)
         for q in queries:
             assert values(found, q.query_id) == pytest.approx(brute(edges, q.kind, q.source))

@@ -3,12 +3,13 @@
 All queries of a batch share each level's scan of the edges, and share rows as well: a state row holds one vertex and the values of up to
 WIDTH queries (a block), so a level is one join and one aggregate of WIDTH minima per edge and block, whatever the mix of kinds.
 
-The state is a log. A level writes only what improved (its frontier); candidates are compared with the state of the touched vertices, which a
-semi-join picks from the log, and the log is compacted every COMPACT levels. Edges are written once, bucketed by source, and are never
-shuffled again; vertices of more than HUB_EDGES edges are split over several buckets.
+The state is a log. A level writes only what improved (its frontier), and the log is compacted every COMPACT levels. Candidates and state meet
+in one aggregate: in dense levels the whole state takes part, in sparse ones (of a state beyond TOUCH_ROWS) only the vertices that have a
+candidate. Edges are written once, bucketed by source, and are never shuffled again; vertices of more than HUB_EDGES edges are split over
+several buckets.
 
-push joins the frontier, pull the whole state; both are right on directed graphs. hybrid extends the frontier in both cases, sparse levels
-by Spark's own choice of join (broadcast below its size limit), dense ones by a merge join on the buckets. All modes give equal results.
+push extends the frontier, pull the whole state; both are right on directed graphs. hybrid extends the frontier and decides by its size which part of the
+state a level reads. All modes give equal results.
 
 Every kind is a Semiring of Column expressions, so Catalyst sees the whole step. Values are doubles; components are found on dense ranks or by
 contraction and come back in the long column `label`, exact for any id.
@@ -21,7 +22,8 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
@@ -57,6 +59,8 @@ SEMIRINGS = {
 #: Shares of pairs (or distinct vertices) and of edges from which a hybrid level counts as dense.
 PULL_SHARE, PULL_EDGES = 0.15, 0.20
 WIDTH, COMPACT, HUB_EDGES = 16, 8, 1_000_000
+#: A state of more rows takes part in a sparse level with the touched vertices only.
+TOUCH_ROWS = 2_000_000
 #: Names of push strategies. They differ in how threads share a level's edges, which AQE decides here; the name is checked and recorded.
 VARIANTS = ("edge_balanced", "shared_node", "query_parallel", "warp", "degree_bucketed")
 
@@ -113,12 +117,28 @@ class _Lanes:
     def __init__(self, width: int):
         self.width, self.queries = width, []
         self.names = [f"v{k}" for k in range(width)]
-        self.schema = ", ".join(["block int", "vertex long", *[f"{n} double" for n in self.names]])
+        # expressions are made once for all levels: a level has hundreds of them
+        self.minima = [F.min(n).alias(n) for n in self.names]
+        self.both = [*self.minima, *[F.min(f"o{n}").alias(f"o{n}") for n in self.names]]
+        nothing = F.lit(None).cast("double")
+        self.as_new = [F.col("block"), F.col("vertex"), *[F.col(n) for n in self.names], *[nothing.alias(f"o{n}") for n in self.names]]
+        self.as_old = [F.col("block"), F.col("vertex"), *[nothing.alias(n) for n in self.names], *[F.col(n).alias(f"o{n}") for n in self.names]]
+        self.better = [F.col("block"), F.col("vertex"), *[F.expr(f"CASE WHEN o{n} IS NULL OR {n} < o{n} THEN {n} END").alias(n) for n in self.names]]
+        self.any = F.expr(f"coalesce({', '.join(self.names)}) IS NOT NULL")
+        self.made: tuple = (0, [], [])
 
     def add(self, q: Query) -> int:
         self.queries.append(q)
         return len(self.queries) - 1
 
+    def level(self, two_ways: bool) -> tuple[list[Column], list[Column]]:
+        """(the columns that a frontier row offers along an edge, the counts of improved rows by lane) for the queries so far."""
+        if self.made[0] != len(self.queries):
+            step = [F.col("block"), F.col("dst").alias("vertex"), *[self.extended(k, two_ways).alias(n) for k, n in enumerate(self.names)]]
+            counts = [F.expr(f"count(CASE WHEN block = {i // self.width} THEN v{i % self.width} END)").alias(f"{i}") for i in range(len(self.queries))]
+            self.made = (len(self.queries), step, [F.count(F.lit(1)).alias("rows"), *counts])
+        return self.made[1:]
+
     def seed_rows(self, lanes: list[int]) -> list[tuple]:
         rows = []
         for lane in lanes:
@@ -135,12 +155,14 @@ class _Lanes:
             s = SEMIRINGS[kind]
             c = F.lit(s.sign) * s.extend(F.lit(s.sign) * F.col(f"v{k}"), F.col("weight")) if s.sign < 0 else s.extend(F.col(f"v{k}"), F.col("weight"))
             c = F.when(F.col(f"v{k}").isNotNull() & (F.lit(True) if s.both_ways or not two_ways else ~F.col("back")), c)
-            here = F.col("block").isin([b for b, x in kinds.items() if x == kind])
-            out = c if out is None else F.when(here, c).otherwise(out)
+            if out is None:
+                out = c
+            else:
+                out = F.when(F.expr(f"block IN ({', '.join(str(b) for b, x in kinds.items() if x == kind)})"), c).otherwise(out)
         return F.lit(None).cast("double") if out is None else out
 
     def least(self, df: DataFrame) -> DataFrame:
-        return df.groupBy("block", "vertex").agg(*[F.min(n).alias(n) for n in self.names])
+        return df.groupBy("block", "vertex").agg(*self.minima)
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, q.query_id, q.kind, SEMIRINGS[q.kind].sign) for i, q in enumerate(self.queries)]
@@ -148,41 +170,71 @@ class _Lanes:
 
 
 class _Log:
-    """The state: one written frame for each level since the last compaction, and small seed frames."""
+    """The state: one written frame for each level since the last compaction, and the seed rows."""
 
     def __init__(self, lanes: _Lanes, spark: SparkSession):
         self.lanes, self.spark = lanes, spark
         self.written: list[DataFrame] = []
         self.seeds: list[tuple] = []
+        self.n_rows = 0  # at most so many rows, repeats included
+
+    def frame(self, rows: list[tuple]) -> DataFrame:
+        """A few rows as a local relation, whose size the planner knows."""
+        columns = list(zip(*rows, strict=True)) or [[] for _ in range(2 + self.lanes.width)]
+        types = [pa.int32(), pa.int64(), *[pa.float64()] * self.lanes.width]
+        return self.spark.createDataFrame(pa.table({n: pa.array(c, t) for n, c, t in zip(["block", "vertex", *self.lanes.names], columns, types, strict=True)}))
 
     def rows(self) -> DataFrame:
         """All rows, several for a vertex."""
         parts = [reread(self.written[0], [w._weft_path for w in self.written])] if self.written else []
         if self.seeds or not parts:
-            parts.append(self.spark.createDataFrame(self.seeds, self.lanes.schema))
+            parts.append(self.frame(self.seeds))
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
+    def add(self, frame: DataFrame, n_rows: int) -> None:
+        self.written.append(frame)
+        self.n_rows += n_rows
+
     def compact(self) -> None:
-        fresh = materialize(self.lanes.least(self.rows()))
+        seen = Observation()
+        fresh = materialize(self.lanes.least(self.rows()).observe(seen, F.count(F.lit(1)).alias("rows")))
         release(*self.written)
-        self.written, self.seeds = [fresh], []
+        self.written, self.seeds, self.n_rows = [fresh], [], seen.get["rows"]
+
+    def improved(self, step: DataFrame, touched_only: bool) -> DataFrame:
+        """The least candidates of each vertex that beat the state, null where they don't.
+
+        Candidates and state rows meet in one aggregate, without a join. touched_only keeps the state of other vertices out of its shuffle:
+        the candidates are written first, and their vertices pick rows from the log.
+        """
+        lanes = self.lanes
+        best = materialize(lanes.least(step)) if touched_only else None
+        old = self.rows() if best is None else self.rows().join(best.select("block", "vertex"), ["block", "vertex"], "left_semi")
+        both = (step if best is None else best).select(*lanes.as_new).union(old.select(*lanes.as_old))
+        out = both.groupBy("block", "vertex").agg(*lanes.both).select(*lanes.better).where(lanes.any)
+        out._weft_path = best._weft_path if best is not None else None  # what to release once the rows are written
+        return out
 
 
-def _edges(graph: Graph, two_ways: bool, hub_edges: int) -> tuple[DataFrame, DataFrame | None, int, int]:
-    """(edges bucketed by source, the split vertices (vertex, part) or None, number of edges, largest out-degree)."""
-    e = graph.edges
+def _edges(base: DataFrame, two_ways: bool, hub_edges: int) -> tuple[DataFrame, DataFrame | None, Row]:
+    """(edges bucketed by source, the split vertices (src, parts) or None, counts m and n and largest out-degree top).
+
+    base is bucketed already and is returned as it is where that is enough.
+    """
+    out = base
     if two_ways:
-        e = e.withColumn("back", F.lit(False)).unionByName(graph.reverse().edges.withColumn("back", F.lit(True)))
-    out = bucketed(e, "src")
-    stats = out.groupBy("src").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("m"), F.max("n").alias("top")).first()
-    if (stats.top or 0) <= hub_edges:
-        return out, None, stats.m or 0, stats.top or 0
+        back = base.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit(True).alias("back"))
+        out = bucketed(base.withColumn("back", F.lit(False)).unionByName(back), "src")
+    stats = out.groupBy("src").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("m"), F.count(F.lit(1)).alias("n"), F.coalesce(F.max("k"), F.lit(0)).alias("top")).first()
+    if stats.top <= hub_edges:
+        return out, None, stats
     hubs = out.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / hub_edges).cast("int").alias("parts")).where("parts > 1")
     hubs = materialize(hubs)  # at most one row for each hub_edges edges
     split = out.join(F.broadcast(hubs), "src", "left").withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     again = bucketed(split, "src", "part")
-    release(out)
-    return again, hubs, stats.m, stats.top
+    if out is not base:
+        release(out)
+    return again, hubs, stats
 
 
 def _ranked(graph: Graph) -> DataFrame:
@@ -192,7 +244,7 @@ def _ranked(graph: Graph) -> DataFrame:
 def run_batch(
     graph: Graph, queries: list[Query], *, mode: str = "hybrid", max_iterations: int = 0, slots: int | None = None, profile: bool = False,
     start_level: dict[int, int] | None = None, pull_share: float = PULL_SHARE, pull_edges: float = PULL_EDGES, discard_results: bool = False,
-    variant: str = VARIANTS[0], width: int = WIDTH, hub_edges: int = HUB_EDGES,
+    variant: str = VARIANTS[0], width: int = WIDTH, hub_edges: int = HUB_EDGES, touch_rows: int = TOUCH_ROWS,
 ) -> BatchResult:
     """Answer all queries. slots: at most so many run at once, the next one starts when one has settled (None: all at once).
 
@@ -209,7 +261,7 @@ def run_batch(
         raise ValueError(f"unknown push variant {variant!r}")
     spark = graph.edges.sparkSession
     # the graph's own plan runs once: checks, counts and levels read what it gave
-    base = materialize(graph.edges.distinct())
+    base = bucketed(graph.edges, "src", distinct=True)
     graph = Graph(base, None if graph.implicit else graph.vertices)
     edges = hubs = ranks = None
     pool = ThreadPoolExecutor(1)
@@ -222,11 +274,11 @@ def run_batch(
         two_ways = any(SEMIRINGS[k].both_ways for k in kinds)
         result = BatchResult(_empty(spark), {}, variant=variant)
         if queries:
-            edges, hubs, n_edges, top = _edges(graph, two_ways, hub_edges)
+            edges, hubs, stats = _edges(base, two_ways, hub_edges)
             if any(SEMIRINGS[k].all_vertices for k in kinds):
-                ranks = _ranked(graph)
-            counts = (graph.vertices.count() if mode == "hybrid" or ranks is not None else 0, n_edges, top)
-            result = _levels(spark, edges, hubs, ranks, counts, queries, two_ways, mode, max_iterations, slots, profile, start_level or {}, pull_share, pull_edges, min(width, len(queries)))
+                ranks = materialize(dense_ids(graph.vertices, "id", "rank"))
+            options = {"mode": mode, "max_iterations": max_iterations, "slots": slots, "profile": profile, "delays": start_level or {}, "pull_share": pull_share, "pull_edges": pull_edges}
+            result = _levels(graph, edges, hubs, ranks, stats, queries, two_ways, width=min(width, len(queries)), touch_rows=touch_rows, **options)
             result.variant = variant
             if discard_results:
                 result.state = _empty(spark)
@@ -240,7 +292,7 @@ def run_batch(
         return result
     finally:
         pool.shutdown(wait=True)
-        release(edges, hubs, base)
+        release(*{id(f): f for f in (edges, hubs, base)}.values())
 
 
 def _empty(spark: SparkSession) -> DataFrame:
@@ -257,18 +309,38 @@ def _contract(graph: Graph) -> tuple[DataFrame, int]:
     return out, rounds
 
 
-def _levels(spark, edges, hubs, ranks, counts, queries, two_ways, mode, max_iterations, slots, profile, delays, pull_share, pull_edges, width) -> BatchResult:  # noqa: PLR0913
+def _levels(
+    graph: Graph, edges: DataFrame, hubs: DataFrame | None, ranks: DataFrame | None, stats: Row, queries: list[Query], two_ways: bool, *, mode: str, max_iterations: int,
+    slots: int | None, profile: bool, delays: dict[int, int], pull_share: float, pull_edges: float, width: int, touch_rows: int,
+) -> BatchResult:
+    spark = graph.edges.sparkSession
     lanes = _Lanes(width)
     log = _Log(lanes, spark)
-    n_vertices, n_edges, top = counts
     whole = lambda q: SEMIRINGS[q.kind].all_vertices
     # like kinds share blocks, so that a column's expression seldom depends on the block
     pending = sorted(queries, key=lambda q: not whole(q)) if slots else sorted(queries, key=lambda q: q.kind)
     one_kind = len({q.kind for q in queries}) == 1 and not slots
     running: dict[int, int] = {}  # lane -> level at which its query started
     done: dict[int, int] = {}
+    # whole-graph kinds run on dense ranks, so labels are exact as doubles; every vertex of the state is then a rank
+    if ranks is not None:
+        number = lambda c: ranks.select(F.col("key").alias(c), F.col("rank").alias(f"__{c}"))
+        kept = [c for c in edges.columns if c not in ("src", "dst")]
+        moved = edges.join(number("src"), "src").join(number("dst"), "dst").select(F.col("__src").alias("src"), F.col("__dst").alias("dst"), *kept)
+        edges = bucketed(moved, "src", *(["part"] if hubs is not None else []))
+        asked = sorted({q.source for q in queries if not whole(q)})
+        at = {r.key: r.rank for r in ranks.where(F.col("key").isin(asked)).collect()} if asked else {}
+        pending = [q if whole(q) else Query(q.query_id, q.kind, at[q.source], q.source_value) for q in pending]
+        if hubs is not None:
+            hubs = hubs.join(number("src"), "src").select(F.col("__src").alias("src"), "parts")
     degree = edges.where("not back") if two_ways else edges
     degree = degree.groupBy(F.col("src").alias("vertex")).agg(F.count(F.lit(1)).alias("degree"))
+    size: list[int] = []  # the number of vertices, once it is needed
+
+    def n_vertices() -> int:
+        if not size:
+            size.append(graph.vertices.count() if ranks is None else ranks.count())
+        return size[0]
 
     def admit(level: int) -> list[int]:
         chosen = []
@@ -288,29 +360,17 @@ def _levels(spark, edges, hubs, ranks, counts, queries, two_ways, mode, max_iter
         single = lanes.seed_rows([i for i in chosen if not whole(lanes.queries[i])])
         if single:
             log.seeds += single
-            out.append(spark.createDataFrame(single, lanes.schema))
+            out.append(log.frame(single))
         for i in [i for i in chosen if whole(lanes.queries[i])]:
             cells = [(F.col("rank").cast("double") if k == i % width else F.lit(None).cast("double")).alias(n) for k, n in enumerate(lanes.names)]
-            log.written.append(materialize(ranks.select(F.lit(i // width).alias("block"), F.col("rank").cast("long").alias("vertex"), *cells)))
+            log.add(materialize(ranks.select(F.lit(i // width).alias("block"), F.col("rank").cast("long").alias("vertex"), *cells)), n_vertices())
             out.append(log.written[-1])
         return out
 
-    # whole-graph kinds run on dense ranks, so labels are exact as doubles; every vertex of the state is then a rank
-    if ranks is not None:
-        number = lambda c: ranks.select(F.col("key").alias(c), F.col("rank").alias(f"__{c}"))
-        kept = [c for c in edges.columns if c not in ("src", "dst")]
-        moved = edges.join(number("src"), "src").join(number("dst"), "dst").select(F.col("__src").alias("src"), F.col("__dst").alias("dst"), *kept)
-        edges = bucketed(moved, "src", *(["part"] if hubs is not None else []))
-        asked = {q.source for q in queries if not whole(q)}
-        at = {r.key: r.rank for r in ranks.where(F.col("key").isin(sorted(asked))).collect()} if asked else {}
-        pending = [q if whole(q) else Query(q.query_id, q.kind, at[q.source], q.source_value) for q in pending]
-        degree = (edges.where("not back") if two_ways else edges).groupBy(F.col("src").alias("vertex")).agg(F.count(F.lit(1)).alias("degree"))
-        if hubs is not None:
-            hubs = hubs.join(number("src"), "src").select(F.col("__src").alias("src"), "parts")
-
+    held = F.expr(" + ".join(f"CAST({n} IS NOT NULL AS BIGINT)" for n in lanes.names))
     level, profiles = 0, []
     delta: DataFrame | None = None
-    live: dict[int, int] = {}
+    live: dict[int, int] = {}  # lane -> rows of its frontier
     n_rows = 0
     while running or pending:
         started = time.perf_counter()
@@ -319,7 +379,7 @@ def _levels(spark, edges, hubs, ranks, counts, queries, two_ways, mode, max_iter
         new = admit(level)
         fronts = ([delta] if live else []) + seeded(new)
         for i in new:
-            live[i] = n_vertices if whole(lanes.queries[i]) else 1
+            live[i] = n_vertices() if whole(lanes.queries[i]) else 1
             n_rows += live[i]
         if not live and not pending:
             break
@@ -331,20 +391,22 @@ def _levels(spark, edges, hubs, ranks, counts, queries, two_ways, mode, max_iter
         frontier = fronts[0]
         for f in fronts[1:]:
             frontier = frontier.unionByName(f)
-        pairs = sum(live.values())
-        n_blocks = len({i // width for i in live})
-        unique = -1
-        if profile or mode == "hybrid" and not one_kind and n_rows >= pull_share * n_vertices:
-            unique = n_rows if n_blocks == 1 and not new else frontier.select("vertex").distinct().count()
-        held = sum((F.col(n).isNotNull().cast("long") for n in lanes.names[1:]), F.col("v0").isNotNull().cast("long"))
-        work = frontier.select("vertex", held.alias("k")).groupBy("vertex").agg(F.sum("k").alias("k")).join(degree, "vertex")
+        pairs, unique = sum(live.values()), -1
+        if profile:
+            unique = frontier.select("vertex").distinct().count()
+        work = lambda f=frontier: f.select("vertex", held.alias("k")).groupBy("vertex").agg(F.sum("k").alias("k")).join(degree, "vertex")
         now = mode
         if mode == "hybrid":
-            dense = unique >= pull_share * n_vertices
+            # vertices with out-edges (stats.n) are no more than all, rows and pairs no fewer than distinct vertices: most levels need no count
+            dense = False
             if one_kind:
-                dense = pairs >= pull_share * len(queries) * n_vertices
-                if not dense and pairs * top >= pull_edges * len(queries) * n_edges:  # else the edges can't reach their share
-                    dense = (work.agg(F.sum(F.col("k") * F.col("degree"))).first()[0] or 0) >= pull_edges * len(queries) * n_edges
+                rows_needed, edges_needed = pull_share * len(queries), pull_edges * len(queries) * stats.m
+                dense = pairs >= rows_needed * stats.n and pairs >= rows_needed * n_vertices()
+                if not dense and pairs * stats.top >= edges_needed:  # else the edges can't reach their share
+                    dense = (work().agg(F.sum(F.col("k") * F.col("degree"))).first()[0] or 0) >= edges_needed
+            elif n_rows >= pull_share * stats.n and n_rows >= pull_share * n_vertices():
+                unique = frontier.select("vertex").distinct().count() if unique < 0 else unique
+                dense = unique >= pull_share * n_vertices()
             now = "pull" if dense else "push"
         source = frontier
         if mode == "pull":
@@ -355,23 +417,19 @@ def _levels(spark, edges, hubs, ranks, counts, queries, two_ways, mode, max_iter
             parts = F.coalesce("parts", F.lit(1))
             source = source.join(F.broadcast(hubs.withColumnRenamed("src", "vertex")), "vertex", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
         on = (source["vertex"] == edges["src"]) & (source["part"] == edges["part"]) if hubs is not None else source["vertex"] == edges["src"]
-        step = (source.hint("merge") if now == "pull" else source).join(edges, on)
-        step = step.select("block", F.col("dst").alias("vertex"), *[lanes.extended(k, two_ways).alias(n) for k, n in enumerate(lanes.names)])
-        best = lanes.least(step)
-        # the state of the touched vertices only
-        old = lanes.least(log.rows().join(best.select("block", "vertex"), ["block", "vertex"], "left_semi"))
-        old = old.select("block", "vertex", *[F.col(n).alias(f"o{n}") for n in lanes.names])
-        better = [F.when(F.col(f"o{n}").isNull() | (F.col(n) < F.col(f"o{n}")), F.col(n)).alias(n) for n in lanes.names]
-        fresh = best.join(old, ["block", "vertex"], "left").select("block", "vertex", *better).where(F.coalesce(*lanes.names).isNotNull())
-        nxt = materialize(fresh)
-        count = nxt.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), *[F.count(n).alias(n) for n in lanes.names]).collect()
+        offers, counts = lanes.level(two_ways)
+        fresh = log.improved(source.join(edges, on).select(*offers), now != "pull" and log.n_rows > touch_rows)
+        seen = Observation()
+        nxt = materialize(fresh.observe(seen, *counts))
+        release(fresh)
+        count = seen.get
         if profile:
-            row = work.agg(F.sum(F.col("k") * F.col("degree")), F.sum("degree")).first()
+            row = work().agg(F.sum(F.col("k") * F.col("degree")), F.sum("degree")).first()
             profiles.append({"iteration": level, "mode": now, "frontier_size": pairs, "unique_frontier_size": unique, "virtual_edges": row[0] or 0, "actual_edges": row[1] or 0,
                              "active_queries": len(live), "bytes_written": _bytes(spark, nxt._weft_path), "wall_ms": 1000 * (time.perf_counter() - started)})
-        n_rows = sum(r.rows for r in count)
-        live = {r.block * width + k: r[n] for r in count for k, n in enumerate(lanes.names) if r[n]}
-        log.written.append(nxt)
+        n_rows = count.pop("rows") or 0
+        live = {int(i): n for i, n in count.items() if n}
+        log.add(nxt, n_rows)
         delta = nxt
         level += 1
         if len(log.written) > COMPACT:

@@ -43,12 +43,13 @@ def reread(like: DataFrame, paths: list[str]) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+def bucketed(df: DataFrame, *keys: str, distinct: bool = False) -> DataFrame:
     """As materialize(), in buckets by the keys: joins and aggregates on them read the files without a shuffle of this side."""
     spark = df.sparkSession
     path, name = shared_dir(spark), f"weft_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).format("parquet").saveAsTable(name)
+    placed = df.repartition(n, *keys)  # equal rows meet here as well, so distinct rows cost no further shuffle
+    (placed.distinct() if distinct else placed).write.bucketBy(n, *keys).option("path", path).format("parquet").saveAsTable(name)
     out = spark.table(name)
     out._weft_path, out._weft_table = path, name
     return out

@@ -29,7 +29,7 @@ OPS = {
     "curriculum": lambda spark, df: mixing.curriculum(mixing.plan(df)),
     "minhash": lambda spark, df: minhash.near_duplicates(df),
     "keep_one": lambda spark, df: minhash.keep_one(df),
-    "pii": lambda spark, df: pii.pseudonymize(df),
+    "pii": lambda spark, df: pii.pseudonymize(df, b"key"),
     "langid": lambda spark, df: langid.predict(df, langid.fit(df)),
 }
 

@@ -4,12 +4,15 @@ An item with an error budget of e edits is split in e + 1 pieces: a copy with at
 One Aho-Corasick automaton finds all exact piece hits in a text; each hit is verified with Myers' bit-parallel edit
 distance of the whole item against the window that the hit allows. Texts and items compare without case, punctuation and spacing.
 
-The benchmark goes to the tasks in blocks of at most `block_chars` characters, one pass over the documents for
-each block, so memory has a bound whatever the size of the benchmark. Verified windows are merged per item, so a piece
-that occurs a thousand times costs one pass over the text.
+The budget is the error rate times the item's length, rounded down; where that is 0, the item matches as whole words.
 
-Defined results: null or empty texts and items match nothing. Items below `min_chars` normalised characters match only as whole
-words without edits. Repeated items and rows each give their own match. Null ids are carried as null.
+The distinct item texts go to the tasks in blocks of about `block_chars` characters, one pass over the documents for each block; a block's hits
+are written before the next block is sent, so driver and tasks hold one block whatever the size of the benchmark. Verified windows are merged per
+item, so a piece that occurs a thousand times costs one pass over the text.
+
+Defined results: null or empty texts and items match nothing. Repeated items and rows each give their own match; of equally near places the first
+counts. Null ids are carried as null. Without items, or with an empty table of documents, nothing is found and every row stays. Texts are searched as a
+whole, in one task each. Only the id and text columns are read; other columns, whatever their names, pass through without_leaks() unchanged.
 """
 
 from __future__ import annotations
@@ -22,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import map_texts, row_key
+from weftgraph.llm.common import map_texts, materialize, row_key
 
-ERROR_RATE, MIN_CHARS, BLOCK_CHARS = 0.05, 40, 4_000_000
-_HIT_TYPE = "array<struct<item_id:long,distance:int,start:int,end:int>>"
-_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-MATCH = "doc_id long, item_id long, distance int, start int, end int"
+ERROR_RATE, BLOCK_CHARS = 0.05, 4_000_000
+_HIT_TYPE = "array<struct<item:binary,distance:int,start:int,end:int>>"
+_HITS = pa.list_(pa.struct([("item", pa.binary()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -35,8 +37,8 @@ def normal(text: object) -> str:
     return _OTHER.sub(" ", text.lower()).strip() if isinstance(text, str) else ""
 
 
-def budget(length: int, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> int:
-    return max(1, int(length * error_rate)) if length >= min_chars else 0
+def budget(length: int, error_rate: float = ERROR_RATE) -> int:
+    return int(length * error_rate + 1e-9)
 
 
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
@@ -76,9 +78,9 @@ def masks_of(item: str) -> dict[str, int]:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int):
+    def __init__(self, items: list[tuple[object, str]], error_rate: float = ERROR_RATE):
         self.items = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if t]
-        self.budgets = [budget(len(t), error_rate, min_chars) for _, t in self.items]
+        self.budgets = [budget(len(t), error_rate) for _, t in self.items]
         self.masks: dict[int, dict[str, int]] = {}
         held: dict[str, list[tuple[int, int]]] = {}
         for k, ((_, t), e) in enumerate(zip(self.items, self.budgets, strict=True)):
@@ -90,8 +92,8 @@ class Matcher:
         if held:
             self.automaton.make_automaton()
 
-    def matches(self, text: object) -> list[tuple[int, int, int, int]]:
-        """(item id, distance, start, end in the normalised text) of each item found, its best place."""
+    def matches(self, text: object) -> list[tuple[object, int, int, int]]:
+        """(item, distance, start, end in the normalised text) of each item found, its best place."""
         body = f" {normal(text)} "
         if not self.items or len(body) < 3:
             return []
@@ -136,27 +138,32 @@ def _merged(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, *, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS,
+    docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, *, block_chars: int = BLOCK_CHARS,
     doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """One row per document and item found in it: doc_id, rk (row key), item_id, distance, start, end."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
-    blocks = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars)
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null").withColumn("item", row_key("text"))
+    texts = items.select("item", "text").distinct()
+    blocks = max(1, -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     spark = docs.sparkSession
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("rk", row_key("doc_id", "text"))
-    found = spark.createDataFrame([], f"{MATCH}, rk binary")
+    found: DataFrame | None = None
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        search = _search(spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part]), error_rate, min_chars)
-        hits = map_texts(body, "text", search, {"m": (_HIT_TYPE, _HITS)}, drop_text=True).select("doc_id", "rk", F.explode("m").alias("m"))
-        found = found.unionByName(hits.select("doc_id", "m.item_id", "m.distance", "m.start", "m.end", "rk"))
-    return found
-
-
-def _search(items, error_rate: float, min_chars: int):
+        part = texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("item").collect()
+        held = spark.sparkContext.broadcast([(bytes(r["item"]), r["text"]) for r in part])
+        hits = map_texts(body, "text", _search(held, error_rate), {"m": (_HIT_TYPE, _HITS)}, drop_text=True).select("doc_id", "rk", F.explode("m").alias("m"))
+        hits = hits.select("doc_id", "rk", "m.item", "m.distance", "m.start", "m.end")
+        if blocks > 1:
+            hits = materialize(hits)
+            held.unpersist(blocking=True)  # a lost executor needs the written hits only
+        found = hits if found is None else found.unionByName(hits)
+    return found.join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "distance", "start", "end", "rk")
+
+
+def _search(items, error_rate: float):
     def make():
-        matcher = Matcher(items.value, error_rate, min_chars)
-        names = ("item_id", "distance", "start", "end")
+        matcher = Matcher(items.value, error_rate)
+        names = ("item", "distance", "start", "end")
         return lambda texts: [[[dict(zip(names, m, strict=True)) for m in matcher.matches(t)] for t in texts]]
 
     return make

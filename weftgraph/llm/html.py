@@ -1,14 +1,20 @@
 """Main-text extraction by a recurrent block labeller.
 
 A page becomes its sequence of leaf blocks. Each block is a vector of its tag path (hashed tags, classes and ids of all
-open elements and of inline elements inside) and of its hashed words. A bidirectional LSTM in numpy reads the whole
-sequence and labels every block as main text or not, so a block is judged by all blocks before and after it.
+open elements and of inline elements inside, and whether most of its text is in links) and of its hashed words. A bidirectional LSTM in numpy reads
+the whole sequence and labels every block as main text or not, so a block is judged by all blocks before and after it.
 
 No labelled pages exist here, so the model is trained on the driver on pages that page_of() composes from common page
-parts with known labels (a fixed seed, the same model in every run); its size does not depend on the input.
+parts with known labels (a fixed seed, the same model in every run); its size does not depend on the input. A part of the pages has no telling
+names: other tags, classes without meaning, an article without an element of its own or in a table cell.
+
+Long pages are read in windows with the LSTM's state carried on, forward and backward, so a page of any length costs one window of vectors and a number for each
+block, and its labels are the same.
 
 Defined results: null or empty html gives empty text. Markup that ends early counts up to its end; an unclosed tag at the
-end is dropped. Scripts, styles, comments and other raw elements never become blocks. White space is what str.split() splits at.
+end is dropped. Scripts, styles, templates, form fields and comments never become blocks; formulas and the content of embedded elements are text. White
+space is what str.split() splits at. A block at the threshold itself is kept. Repeated rows get equal texts; other columns pass through, one named as the
+output is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +31,14 @@ from pyspark.sql import DataFrame
 
 from weftgraph.llm.common import U64, map_texts, word_hashes
 
-PATH_DIMS, WORD_DIMS, HIDDEN = 160, 32, 14
+PATH_DIMS, WORD_DIMS, HIDDEN, WINDOW = 256, 32, 16, 4096
 INPUT = PATH_DIMS + WORD_DIMS + 3
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea select".split())
+RAW = frozenset("script style template textarea select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation"
+    " svg g path circle rect line polygon polyline ellipse text tspan defs use object canvas iframe embed audio video picture".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 BLOCKS_CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
@@ -55,15 +64,24 @@ def blocks(page: object) -> list[tuple[str, tuple[str, ...]]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     inner: list[tuple[str, ...]] = []
-    at, raw = 0, ""
+    at, raw, links, linked = 0, "", 0, 0
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((text, tuple(t for _, own in stack for t in own) + tuple(t for own in dict.fromkeys(inner) for t in own)))
+                mark = ("@linked",) if 2 * linked > sum(len(p.strip()) for p in parts) else ()
+                out.append((text, tuple(t for _, own in stack for t in own) + tuple(t for own in dict.fromkeys(inner) for t in own) + mark))
             parts.clear()
         inner.clear()
+        linked = 0
+
+    def add(text: str) -> None:
+        nonlocal linked
+        parts.append(text)
+        if links:
+            linked += len(text.strip())
 
     for m in _TAG.finditer(page):
         if raw:
@@ -72,20 +90,22 @@ def blocks(page: object) -> list[tuple[str, tuple[str, ...]]]:
             raw, at = "", m.end()
             continue
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         close, attrs = m[1] or m[4], m[3] or m[6] or ""
         if tag in RAW:
-            if not close and not attrs.endswith("/"):
+            if not close:
                 raw = tag
                 at = _raw_end(page, m.end(), tag)
                 if at == len(page):
                     break
             continue
         if tag in INLINE:
+            if tag == "a":
+                links = 0 if close else 1
             if tag == "br":
                 parts.append(" ")
             elif not close:
@@ -106,10 +126,10 @@ def blocks(page: object) -> list[tuple[str, tuple[str, ...]]]:
                     break
             elif stack[k][0] in SCOPE.get(tag, BLOCKS_CLOSE_P):
                 break
-        if tag not in VOID and not attrs.endswith("/"):
+        if tag not in VOID:  # a slash at the end of a tag closes nothing
             stack.append((tag, _tokens(tag, attrs)))
     if not raw and at < len(page):
-        parts.append(page[at:])
+        add(page[at:])
     flush()
     return out
 
@@ -163,10 +183,10 @@ class BiLSTM:
     def _sig(x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
+    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None):
         steps, batch = mask.shape
         pre = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
-        h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
+        h, c = state or (np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32))
         out, tape = np.zeros((steps, batch, HIDDEN), np.float32), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = pre[t] + h @ self.w[f"h{d}"]
@@ -180,12 +200,12 @@ class BiLSTM:
                 tape.append((t, h, c, i, f, o, g, tc, m))
             h, c = h2, c2
             out[t] = h
-        return out, tape
+        return out, tape, (h, c)
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         """x: (step, page, INPUT), mask: (step, page). (probability of main text, what backward() needs)."""
-        hf, tf = self._pass(x, mask, "f", keep)
-        hb, tb = self._pass(x, mask, "b", keep)
+        hf, tf, _ = self._pass(x, mask, "f", keep)
+        hb, tb, _ = self._pass(x, mask, "b", keep)
         top = np.concatenate([hf, hb, x], axis=2)
         return self._sig(top @ self.w["o"]), (top, tf, tb)
 
@@ -209,6 +229,18 @@ class BiLSTM:
         loss = -(np.log(np.where(y > 0.5, p, 1 - p) + 1e-9) * mask).sum() / n
         return grad, float(loss)
 
+    def label_long(self, page: list[tuple[str, tuple[str, ...]]], window: int = WINDOW) -> np.ndarray:
+        """Probability of each block of one page, by windows of `window` blocks."""
+        logit, starts = np.zeros(len(page), np.float32), range(0, len(page), window)
+        o = self.w["o"]
+        for d, order, part in (("f", starts, o[:HIDDEN]), ("b", reversed(starts), o[HIDDEN : 2 * HIDDEN])):
+            state = None
+            for a in order:
+                x = vectors([page[a : a + window]])[:, None, :]
+                h, _, state = self._pass(x, np.ones(x.shape[:2], np.float32), d, False, state)
+                logit[a : a + window] += h[:, 0] @ part + (x[:, 0] @ o[2 * HIDDEN :] if d == "f" else 0)
+        return self._sig(logit)
+
     def label(self, pages: list[list[tuple[str, tuple[str, ...]]]], cells: int = 1 << 17) -> list[np.ndarray]:
         """Probability of each block of each page. Pages of like length go together, at most `cells` vectors at a time."""
         order = sorted(range(len(pages)), key=lambda i: len(pages[i]))
@@ -220,7 +252,10 @@ class BiLSTM:
                 j += 1
             group = [k for k in order[i:j] if pages[k]]
             i = j
-            if group:
+            if group and len(pages[group[-1]]) > WINDOW:
+                for k in group:
+                    out[k] = self.label_long(pages[k])
+            elif group:
                 x, mask = padded([pages[k] for k in group])
                 p, _ = self.forward(x, mask)
                 for col, k in enumerate(group):
@@ -240,43 +275,85 @@ def padded(pages: list[list[tuple[str, tuple[str, ...]]]]) -> tuple[np.ndarray,
     return x, mask
 
 
+@lru_cache(maxsize=1)
+def _words(n: int = 5000) -> list[str]:
+    """Invented words of one to four syllables."""
+    rng = np.random.default_rng(9)
+    syllables = ["an", "el", "or", "ti", "se", "ma", "ru", "ko", "in", "ed", "th", "ou", "ch", "ä", "é", "ñ"]
+    return ["".join(rng.choice(syllables, rng.integers(1, 5))) for _ in range(n)]
+
+
 def page_of(rng: np.random.Generator) -> tuple[str, list[int]]:
     """A composed page and the label of each of its blocks: 1 for main text."""
-    letters = ["an", "el", "or", "ti", "se", "ma", "ru", "ko", "in", "ed", "th", "ou", "ch", "ä", "é", "ñ"]
+    pool = _words()
     labels: list[int] = []
-    word = lambda: "".join(rng.choice(letters, rng.integers(1, 5)))
+    word = lambda: pool[rng.integers(len(pool))]
 
     def say(lo: int, hi: int, label: int, dot: bool = True) -> str:
         labels.append(label)
-        return " ".join(word() for _ in range(rng.integers(lo, hi))).capitalize() + ("." if dot else "")
+        return " ".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(lo, hi))).capitalize() + ("." if dot else "")
 
     pick = lambda *xs: xs[rng.integers(len(xs))]
-    name = lambda *xs: pick(*[f' class="{x}"' for x in xs], *[f' id="{x}"' for x in xs], f' class="{pick("box", "wrap", "col")} {xs[0]}"')
+    plain = rng.random() < 0.45  # a page whose furniture and article have no telling names
+
+    def name(*xs: str) -> str:
+        if plain:
+            made = pick(word(), f"x{rng.integers(1, 30)}", f"{word()}-{word()}", f"c{rng.integers(100, 999)}")
+            return pick("", f' class="{made}"', f' class={made}', f' id="{made}"', f' class="{made} {word()}"')
+        return pick(*[f' class="{x}"' for x in xs], *[f' id="{x}"' for x in xs], f' class="{pick("box", "wrap", "col")} {xs[0]}"')
+
+    def wrapped(inner: str, tag: str, attrs: str = "") -> str:
+        """inner in the element, on plain pages often in another one."""
+        if plain and rng.random() < 0.7:
+            tag, attrs = pick("div", "div", "section", "td"), name("x")
+        if tag == "td":
+            return f"<table><tr><td{attrs}>{inner}</td></tr></table>"
+        return f"<{tag}{attrs}>{inner}</{tag}>"
 
     def links(n: int, tag: str = "ul") -> str:
         items = "".join(f'<li><a href="/{word()}">{say(1, 4, 0, False)}</a></li>' for _ in range(n))
         return f"<{tag}>{items}</{tag}>"
 
     def menu() -> str:
-        return pick(lambda: f"<nav>{links(rng.integers(2, 9))}</nav>", lambda: f"<div{name('menu', 'navbar', 'nav', 'breadcrumb')}>{links(rng.integers(2, 8))}</div>", lambda: f"<nav><a href='/'>{say(1, 3, 0, False)}</a> <a href='/x'>{word()}</a></nav>")()
+        return pick(
+            lambda: wrapped(links(rng.integers(2, 9)), "nav"), lambda: f"<div{name('menu', 'navbar', 'nav', 'breadcrumb')}>{links(rng.integers(2, 8))}</div>",
+            lambda: wrapped(f"<a href='/'>{say(1, 3, 0, False)}</a> {pick('', '| ')}<a href='/x'>{word()}</a>", "nav"))()
 
     def header() -> str:
-        return f"<header><div{name('logo', 'site-title', 'banner')}>{say(1, 5, 0, False)}</div>" + pick(lambda: menu(), lambda: f"<p>{say(3, 12, 0)}</p>", lambda: "")() + "</header>"
+        return wrapped(f"<div{name('logo', 'site-title', 'banner')}>{say(1, 5, 0, False)}</div>" + pick(lambda: menu(), lambda: f"<p>{say(3, 12, 0)}</p>" if not plain else "", lambda: "")(), "header")
+
+    def telling(make: Callable[[], str]) -> Callable[[], str]:
+        """Parts of prose that only their names tell from the article keep them on plain pages."""
+
+        def run() -> str:
+            nonlocal plain
+            before, plain = plain, False
+            out = make()
+            plain = before
+            return out
+
+        return run
 
+    @telling
     def advert() -> str:
         return f"<div{name('ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'banner-ad')}>{pick(lambda: say(3, 30, 0), lambda: f'<p>{say(3, 40, 0)}</p><a href=x>{say(1, 4, 0, False)}</a>')()}</div>"
 
+    @telling
     def notice() -> str:
         return f"<div{name('cookie', 'cookie-banner', 'notice', 'consent', 'gdpr', 'popup', 'modal', 'newsletter', 'alert')}><p>{say(5, 40, 0)}</p>{pick(lambda: f'<button>{say(1, 3, 0, False)}</button>', lambda: '')()}</div>"
 
+    @telling
     def form() -> str:
         return f"<form{pick('', ' class=search', ' id=subscribe')}><p>{say(2, 12, 0)}</p><input type=text><button>{say(1, 3, 0, False)}</button></form>"
 
     def sidebar() -> str:
         tag, attrs = pick(("aside", ""), ("aside", name("sidebar", "related")), ("div", name("sidebar", "related", "widget", "share", "social", "recommended")))
+        if plain and tag == "div":  # without names, only links tell a side box from the article
+            return f"<{tag}{attrs}>{f'<h3>{say(1, 4, 0, False)}</h3>' if rng.random() < 0.5 else ''}{links(rng.integers(2, 7))}</{tag}>"
         body = "".join(pick(lambda: f"<h3>{say(1, 5, 0, False)}</h3>", lambda: links(rng.integers(1, 6)), lambda: f"<p>{say(4, 50, 0)}</p>")() for _ in range(rng.integers(1, 4)))
         return f"<{tag}{attrs}>{body}</{tag}>"
 
+    @telling
     def comments() -> str:
         tag = pick("section", "div")
         head = pick(lambda: f"<h2>{say(1, 4, 0, False)}</h2>", lambda: "")()
@@ -284,6 +361,9 @@ def page_of(rng: np.random.Generator) -> tuple[str, list[int]]:
         return f"<{tag}{name('comments', 'comment-list', 'discussion', 'responses', 'disqus')}>{head}{''.join(one() for _ in range(rng.integers(1, 5)))}</{tag}>"
 
     def footer() -> str:
+        if plain:
+            line = pick("&copy; ", "© 2024 ", "Copyright ") + say(1, 10, 0)
+            return wrapped(line + (links(rng.integers(1, 5)) if rng.random() < 0.3 else ""), "div", name("x"))
         return pick(lambda: f"<footer>&copy; {say(1, 14, 0)}</footer>", lambda: f"<footer><p>{say(3, 25, 0)}</p>{links(rng.integers(1, 5))}</footer>", lambda: f"<div{name('footer', 'copyright', 'legal')}>{say(3, 20, 0)}</div>")()
 
     def main() -> str:
@@ -297,22 +377,36 @@ def page_of(rng: np.random.Generator) -> tuple[str, list[int]]:
             )())
             if rng.random() < 0.06:
                 body.append(pick(advert, sidebar, form, notice)())
+        inner = "".join(body)
+        if plain or rng.random() < 0.12:  # no element of its own, a nameless one, a table cell
+            wrap = pick("none", "div", "div", "section", "td", "two", "article", "main")
+            if wrap == "none":
+                return f"<div></div>{inner}"
+            if wrap == "td":
+                before = f"<td{name('x')}>{links(0)}</td>"
+                return f"<table><tr>{before}<td{name('x')}>{inner}</td></tr></table>"
+            return f"<div><div{name('x')}>{inner}</div></div>" if wrap == "two" else f"<{wrap}{name('x') if wrap != 'article' else ''}>{inner}</{wrap}>"
         # an open <p><b> at the end is closed by what follows
         tag, attrs = pick(("article", ""), ("article", ""), ("article", name("post", "entry")), ("main", ""), ("div", name("content", "article", "post", "entry-content", "story")), ("section", name("content", "article-body")))
-        return f"<{tag}{attrs}>{''.join(body)}</{tag}>"
+        return f"<{tag}{attrs}>{inner}</{tag}>"
 
     parts = ["<!DOCTYPE html><html><head>", f"<title>{say(2, 12, 0, False)}</title>", "<style>p{margin:0}</style></head><body>"]
     for make, chance in ((header, 0.4), (menu, 0.75), (notice, 0.25), (advert, 0.45), (form, 0.12), (sidebar, 0.2)):
         if rng.random() < chance:
             parts.append(make())
-    parts.append(main())
+    if plain and rng.random() < 0.2:  # a table layout: the menu in the cell beside the article's
+        cell = f"<td{name('x')}>{links(rng.integers(2, 8))}</td>"
+        body = main()
+        parts.append(f"<table><tr>{cell}<td{name('x')}>{body}</td></tr></table>")
+    else:
+        parts.append(main())
     for make, chance in ((comments, 0.35), (sidebar, 0.3), (advert, 0.25), (form, 0.15), (notice, 0.15), (footer, 0.75)):
         if rng.random() < chance:
             parts.append(make())
     return "".join(parts) + "</body></html>", labels
 
 
-def train(pages: int = 700, epochs: int = 14, batch: int = 32, rate: float = 0.012, seed: int = 5) -> BiLSTM:
+def train(pages: int = 1500, epochs: int = 14, batch: int = 32, rate: float = 0.012, seed: int = 5) -> BiLSTM:
     """A labeller fitted by Adam on composed pages."""
     rng = np.random.default_rng(seed)
     data = []

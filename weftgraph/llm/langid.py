@@ -4,11 +4,12 @@ One table of bit masks serves all languages: bit l of a slot belongs to language
 slots is the set of languages that contain it. A document adds up, per language, how many of its n-grams are
 contained, corrects that for the filter's rate of false positives, and takes the language with the largest share.
 
-Filters hold, per language, the n-grams that are at least `ratio` times as frequent in it as in the language that uses them most,
-the `profile` most frequent of them. Counts run over every training document.
+Every n-gram that a language's training text holds is in its filter. Filters are built by the tasks: the distinct n-grams of each language are
+counted first, the filter is sized from the largest count, and slots meet in an OR aggregate; the driver gets the filter, never the n-grams.
 
 Defined results: null text, or text without a letter: `und`, score 0. Without a training language all rows are `und`. Ties go to
-the language with more training n-grams, then by name. A null language is not learned.
+the language with more training n-grams, then by name. A null language is not learned. Repeated rows add nothing. Texts are read whole, one at a time.
+Other columns pass through; columns of the names of prediction and score are replaced.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import U64, encode, map_texts, mix64
+from weftgraph.llm.common import U64, encode, map_texts, materialize, mix64, release
 
-N, GRAM_BITS, SLOT_BITS, HASHES = 4, 20, 21, 3
-PROFILE, RATIO, MIN_COUNT = 50_000, 0.5, 2
+N, HASHES = 4, 3
+#: Slots for each n-gram of the largest language, and the bounds of the filter's size as powers of two. Beyond the upper one filters only get denser.
+SLOTS_PER_GRAM, LEAST_BITS, MOST_BITS = 12, 16, 28
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[65:91] += 32
 _CLASS[:65] = 32
@@ -34,7 +36,7 @@ _CLASS[123:128] = 32
 
 
 def grams(text: object) -> np.ndarray:
-    """Hashed ids of the byte n-grams of the letters, lower-cased, other ASCII as one space; windows of spaces only are left out."""
+    """Ids (the N bytes themselves) of the byte n-grams of the letters, lower-cased, other ASCII as one space; windows of spaces only are left out."""
     codes = _CLASS[np.frombuffer(b" " + encode(text) + b" ", np.uint8)]
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
@@ -44,71 +46,81 @@ def grams(text: object) -> np.ndarray:
     gram = codes[: len(codes) - N + 1].copy()
     for j in range(1, N):
         gram |= codes[j : len(codes) - N + 1 + j] << np.uint32(8 * j)
-    return ((gram.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - GRAM_BITS)).astype(np.int64)
+    return gram.astype(np.int64)
+
+
+def slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    """(hash, n-gram) -> slot of a filter of 2^bits slots; two halves of one hash, combined."""
+    h = mix64(ids.astype(U64) + U64(0x2545F4914F6CDD1D))
+    low, high = h & U64(0xFFFFFFFF), (h >> U64(32)) | U64(1)
+    return np.stack([(low + U64(k) * high) & U64((1 << bits) - 1) for k in range(HASHES)]).astype(np.int64)
 
 
 @dataclass
 class Filters:
     languages: list[str]
-    table: np.ndarray  # (slot, word of 64 languages)
+    bits: int
+    table: np.ndarray  # (slot, word): bit l % 64 of word l // 64 belongs to language l; words of 8 bits where that is enough
     rates: np.ndarray  # chance that a gram outside is reported, per language
 
-    @staticmethod
-    def slots(ids: np.ndarray) -> np.ndarray:
-        h = mix64(ids.astype(U64) + U64(0x2545F4914F6CDD1D))
-        return np.stack([(h >> U64(SLOT_BITS * k)) & U64((1 << SLOT_BITS) - 1) for k in range(HASHES)]).astype(np.int64)
-
-    @classmethod
-    def build(cls, members: dict[str, np.ndarray], order: list[str]) -> Filters:
-        table = np.zeros((1 << SLOT_BITS, max(1, -(-len(order) // 64))), U64)
-        rates = np.zeros(len(order))
-        for k, lang in enumerate(order):
-            at = cls.slots(members[lang]).ravel()
-            table[at, k // 64] |= U64(1) << U64(k % 64)
-            rates[k] = (len(np.unique(at)) / len(table)) ** HASHES
-        return cls(order, table, rates)
-
     def shares(self, ids: np.ndarray) -> np.ndarray:
         """Per language, the corrected share of the n-grams that its filter holds."""
-        a = self.slots(ids)
+        a = slots(ids, self.bits)
         mask = self.table[a[0]]
         for k in range(1, HASHES):
             mask = mask & self.table[a[k]]
-        hits = np.array([np.count_nonzero(mask[:, k // 64] & (U64(1) << U64(k % 64))) for k in range(len(self.languages))])
-        return np.clip((hits / max(1, len(ids)) - self.rates) / (1 - self.rates), 0.0, 1.0)
+        one = self.table.dtype.type(1)
+        hits = np.array([np.count_nonzero(mask[:, k // 64] & (one << self.table.dtype.type(k % 64))) for k in range(len(self.languages))])
+        return np.clip((hits / max(1, len(ids)) - self.rates) / np.maximum(1 - self.rates, 1e-9), 0.0, 1.0)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _distinct(batches: Iterator[pd.DataFrame], hold: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """(lang, gram) of a task, each pair once for at least `hold` pairs read; a language holds one sorted array."""
     held: dict[str, np.ndarray] = {}
-    for pdf in batches:
-        for lang, rows in pdf.groupby("lang")["text"]:
-            ids = np.concatenate([grams(t) for t in rows])
-            if lang not in held and len(held) == 16:  # bounds a task's memory with many languages
-                yield from _flush(held)
-            at = held.setdefault(lang, np.zeros(1 << GRAM_BITS, np.int64))
-            at += np.bincount(ids, minlength=1 << GRAM_BITS)
-    yield from _flush(held)
 
+    def flush() -> Iterator[pd.DataFrame]:
+        for lang in list(held):
+            yield pd.DataFrame({"lang": lang, "gram": held.pop(lang)})
 
-def _flush(held: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
-    for lang in list(held):
-        counts = held.pop(lang)
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"lang": lang, "gram": at, "n": counts[at]})
-
-
-def fit(docs: DataFrame, profile: int = PROFILE, ratio: float = RATIO, min_count: int = MIN_COUNT, *, text: str = "text", lang: str = "lang") -> Filters:
-    """docs: the training rows only. The driver gets at most `profile` n-grams for each language."""
+    for pdf in batches:
+        for lang, rows in pdf.groupby("lang")["text"]:
+            part: list[np.ndarray] = []
+            for t in rows:
+                part.append(np.unique(grams(t)))
+                if sum(map(len, part)) > hold // 4:
+                    part = [np.unique(np.concatenate(part))]
+            held[lang] = np.unique(np.concatenate([held.get(lang, np.zeros(0, np.int64)), *part]))
+        if sum(map(len, held.values())) > hold:
+            yield from flush()
+    yield from flush()
+
+
+def _slot_masks(order: list[str], bits: int):
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lang, rows in pdf.groupby("lang")["gram"]:
+                k = order.index(lang)
+                at = np.unique(slots(rows.to_numpy(), bits))
+                yield pd.DataFrame({"slot": at, "word": np.full(len(at), k // 64, np.int32), "mask": np.full(len(at), (U64(1) << U64(k % 64)).astype(np.int64))})
+
+    return go
+
+
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Filters:
+    """docs: the training rows only. The driver gets one count for each language and the slots in use, at most 2^MOST_BITS for each 64 languages."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = rows.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = counts.join(totals, "lang").withColumn("p", F.col("n") / F.col("total"))
-    top = share.withColumn("most", F.max("p").over(Window.partitionBy("gram"))).where((F.col("p") >= F.col("most") * ratio) & (F.col("n") >= min_count))
-    # the cut at `profile` works on ids below 2^GRAM_BITS per language, a bounded group
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    got = top.withColumn("rank", rank).where(F.col("rank") <= profile).groupBy("lang", "total").agg(F.collect_list("gram").alias("grams")).collect()
-    ranked = sorted(got, key=lambda r: (-r["total"], r["lang"]))
-    return Filters.build({r["lang"]: np.array(r["grams"], np.int64) for r in ranked}, [r["lang"] for r in ranked])
+    found = materialize(rows.mapInPandas(_distinct, "lang string, gram long").distinct())
+    sizes = sorted(found.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (-r["n"], r["lang"]))
+    order = [r["lang"] for r in sizes]
+    bits = min(MOST_BITS, max(LEAST_BITS, int(SLOTS_PER_GRAM * (sizes[0]["n"] if sizes else 1)).bit_length()))
+    kind = next(t for t, most in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (U64, len(order) + 64)) if len(order) <= most)
+    table = np.zeros((1 << bits, max(1, -(-len(order) // 64))), kind)
+    masks = found.mapInPandas(_slot_masks(order, bits), "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+    got = masks.toPandas()
+    table[got["slot"].to_numpy(np.int64), got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(U64).astype(kind)
+    release(found)
+    rates = [(np.count_nonzero(table[:, k // 64] & (kind(1) << kind(k % 64))) / len(table)) ** HASHES for k in range(len(order))]
+    return Filters(order, bits, table, np.array(rates))
 
 
 def predict(docs: DataFrame, filters: Filters, *, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:

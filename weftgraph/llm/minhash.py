@@ -6,9 +6,10 @@ estimate of the similarity that is corrected for chance agreement. Candidates wh
 `sigmas` standard deviations of the threshold are confirmed on the full sets.
 
 Components need not see every pair. Round 1 verifies a maximum spanning forest of each bucket (by estimate), which is
-at most one pair for each row of the bucket. Round 2 verifies every remaining candidate pair between *different*
-components, so no link between different texts is lost. Buckets of more than `block` rows are split in blocks: round 1
-works inside a block, round 2 on all pairs of blocks, so a task never holds more than two blocks.
+at most one pair for each row of the bucket; buckets of more than `block` rows are split in blocks, a forest for each. Round 2 does the same with one
+class of every component for each bucket that still holds several: the blocks of a large group of copies meet there as a handful of rows. Round 3
+verifies every remaining candidate pair between *different* components, over all pairs of blocks, so no link between different texts is lost, and a task
+never holds more than two blocks. After round 2 a bucket is mixed only if texts that are not alike share it.
 
 Defined results: null or empty text, or text without a word: no shingles, linked with nothing, its own component.
 Fewer words than `n`: the whole sequence is the only shingle. Repeated rows: one class. Null ids: allowed, sort last;
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import U64, map_texts, materialize, mix64, random64, release, row_key, word_hashes
 from weftgraph.operators.components import connected_components
 
-PERMS, BITS, BANDS, ROWS, SIGMAS, BLOCK = 512, 4, 36, 5, 4.5, 2048
+PERMS, BITS, BANDS, ROWS, SIGMAS, BLOCK = 512, 4, 36, 5, 4.5, 512
 
 
 def shingle_sets(texts: list, n: int) -> list[np.ndarray]:
@@ -253,46 +254,74 @@ def near_duplicates(
     sets = materialize(texts.mapInPandas(_set_rows(n), "node binary, shingles array<bigint>").dropDuplicates(["node"]))
 
     own = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).cast("int")
-    payload = near.join(classes.select("node", "sig"), "node").select("key", own.alias("block"), "node", "sig")
-    first = payload.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInPandas(_forest(bits, cut), "a binary, b binary")
-    links = materialize(_confirmed(first, sets, num, den))
-    comps = materialize(connected_components(links, "a", "b"))
+    signed = classes.select("node", "sig")
+
+    def forest(rows: DataFrame) -> DataFrame:
+        """Confirmed links of the spanning forests of rows (key, size, node)."""
+        payload = rows.select("key", "node", own.alias("block")).join(signed, "node")
+        pairs = payload.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInPandas(_forest(bits, cut), "a binary, b binary")
+        return materialize(_confirmed(pairs, sets, num, den))
 
-    labelled = near.join(comps.withColumnRenamed("vertex", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    links = forest(near)
+    comps = materialize(connected_components(links, "a", "b"))
+    labelled = _labelled(near, comps)
+    # one class of each component stands for it in a bucket
+    agents = labelled.groupBy("key", "component").agg(F.min("node").alias("node"))
+    sizes = agents.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    agents = materialize(agents.join(sizes, "key").select("key", "size", "node"))
+    more = forest(agents)
+    comps = _merged(comps, more)
+
+    labelled = _labelled(near.join(agents.select("key").distinct(), "key", "left_semi"), comps)
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     blocks = F.ceil(F.col("size") / block).cast("int")
     facing = F.explode(F.sequence(F.lit(0), blocks - 1))
     wide = labelled.join(mixed, "key", "left_semi").select("key", "node", "component", own.alias("own"), facing.alias("face"))
     wide = wide.select("key", "node", "component", "own", F.least("own", "face").alias("block"), F.greatest("own", "face").alias("other"))
     wide = wide.join(classes.select("node", "sig", "keys"), "node")
-    second = wide.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other", "node").mapInPandas(_crossing(bits, cut), "a binary, b binary")
-    more = materialize(_confirmed(second, sets, num, den))
-    if not more.isEmpty():
-        # join the components that the new links touch; a component is named by its smallest class
-        name = comps.withColumnRenamed("vertex", "a").withColumnRenamed("component", "ca")
-        other = comps.withColumnRenamed("vertex", "b").withColumnRenamed("component", "cb")
-        lifted = more.join(name, "a", "left").join(other, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        upper = connected_components(lifted, "a", "b").select(F.col("vertex").alias("component"), F.col("component").alias("top"))
-        base = comps.unionByName(lifted.select(F.explode(F.array("a", "b")).alias("vertex")).withColumn("component", F.col("vertex"))).distinct()
-        comps = materialize(base.join(upper, "component", "left").select("vertex", F.coalesce("top", "component").alias("component")))
+    third = wide.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other", "node").mapInPandas(_crossing(bits, cut), "a binary, b binary")
+    rest = materialize(_confirmed(third, sets, num, den))
+    comps = _merged(comps, rest)
 
     of_class = classes.select("node", "doc_id").join(comps.withColumnRenamed("vertex", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     final = of_class.join(smallest, "component").select("node", "component", "component_id")
     result = filled.select("doc_id", "rk", "n_shingles", "node").join(final, "node").select("doc_id", "rk", "n_shingles", "component", "component_id")
     alone = rows_.where("node is null").select("doc_id", "rk", "n_shingles", F.col("rk").alias("component"), F.col("doc_id").alias("component_id"))
-    release(near, sets, links, more)
-    return result.unionByName(alone)
+    out = materialize(result.unionByName(alone))
+    release(near, sets, links, more, rest, agents, comps, classes, rows_)
+    return out
+
+
+def _labelled(near: DataFrame, comps: DataFrame) -> DataFrame:
+    return near.join(comps.withColumnRenamed("vertex", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (vertex, component) with the components that links (a, b) touch joined; a component is named by its smallest class."""
+    if links.isEmpty():
+        return comps
+    name = comps.withColumnRenamed("vertex", "a").withColumnRenamed("component", "ca")
+    other = comps.withColumnRenamed("vertex", "b").withColumnRenamed("component", "cb")
+    lifted = links.join(name, "a", "left").join(other, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    found = connected_components(lifted, "a", "b")
+    upper = found.select(F.col("vertex").alias("component"), F.col("component").alias("top"))
+    base = comps.unionByName(lifted.select(F.explode(F.array("a", "b")).alias("vertex")).withColumn("component", F.col("vertex"))).distinct()
+    out = materialize(base.join(upper, "component", "left").select("vertex", F.coalesce("top", "component").alias("component")))
+    release(found, comps)
+    return out
 
 
 def keep_one(docs: DataFrame, num: int = 80, den: int = 100, n: int = 5, *, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """The rows of docs, columns unchanged, with one row of each component: the smallest id, null last.
 
-    Rows without shingles all stay, but for repeats of the same id and text.
+    Of rows with the same id and text, the one whose other columns come first as text stays. Rows without shingles all stay, but for such repeats.
     """
     found = near_duplicates(docs, num, den, n, doc_id=doc_id, text=text, **options)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("first"))
     key = "__weft_rk"
     chosen = first.select(F.col("first.rk").alias(key)).distinct()
-    keyed = docs.withColumn(key, row_key(F.col(doc_id).cast("long"), F.col(text).cast("string"))).join(chosen, key, "left_semi")
-    return keyed.dropDuplicates([key]).drop(key)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(row_key(F.col(doc_id).cast("long"), F.col(text).cast("string")).alias(key), F.struct(*names).alias("__weft_row"), row_key(*names).alias("__weft_all"))
+    kept = keyed.join(chosen, key, "left_semi").groupBy(key).agg(F.min_by("__weft_row", "__weft_all").alias("__weft_row"))
+    return kept.select(*[F.col("__weft_row").getField(c).alias(c) for c in docs.columns])

@@ -10,7 +10,8 @@ The order inside a source is by hash prefix: sums of the prefixes are added up f
 so a source of any size is spread over many tasks.
 
 Defined results: null text has size 0 and takes nothing. A null source is a source of its own, last in order. Rows of equal
-id and text share a place in the order and are interchangeable. An empty table gives an empty result.
+id and text share a place in the order and are interchangeable. An empty table gives an empty result. A text's length only counts its words. Other columns
+pass through; one named mix (or, in the curriculum, position) is replaced.
 """
 
 from __future__ import annotations
@@ -78,9 +79,9 @@ def targets(stats: DataFrame, weights: tuple[int, ...], budget: float, max_repea
 
 def plan(
     docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, schedules: tuple = SCHEDULES, budget: float = 1.5, max_repeat: int = 2,
-    doc_id: str = "doc_id", text: str = "text", source: str = "source", rows_per_prefix: int = ROWS_PER_PREFIX,
+    doc_id: str = "doc_id", text: str = "text", source: str = "source", rows_per_prefix: int = ROWS_PER_PREFIX, out: str = "mix",
 ) -> DataFrame:
-    """All columns and rows of docs, plus a struct `mix` (replacing a column of that name): size, source_size, target, taken, positions (one for each copy taken, ascending).
+    """All columns and rows of docs, plus a struct `out` (replacing a column of that name): size, source_size, target, taken, positions (one for each copy taken, ascending).
 
     taken counts the words of all copies; the last document that a source's target reaches is taken in part.
     """
@@ -89,18 +90,21 @@ def plan(
     keyed = docs.withColumn("__weft", F.struct(F.col(source).cast("string").alias("source"), F.regexp_count(body, F.lit(WORD_RE)).cast("long").alias("size"), order.alias("h")))
     largest = docs.groupBy(F.col(source)).count().agg(F.max("count")).first()[0] or 0
     digits = max(1, math.ceil(math.log(max(1, largest / rows_per_prefix), 16)))
-    pre = lambda c: F.substring(c, 1, digits)
-
-    slim = keyed.select(F.col("__weft.source").alias("source"), F.col("__weft.size").alias("size"), pre(F.col("__weft.h")).alias("prefix"))
-    sums = slim.groupBy("source", "prefix").agg(F.sum("size").alias("words"))
+    # plain key columns, so that the join and the window below share one shuffle of the rows
+    keyed = keyed.withColumns({"__weft_s": F.coalesce(F.concat(F.lit("="), "__weft.source"), F.lit("-")), "__weft_p": F.substring("__weft.h", 1, digits)})
+    sums = keyed.select("__weft_s", "__weft_p", "__weft.source", "__weft.size").groupBy("__weft_s", "__weft_p").agg(F.any_value("source").alias("source"), F.sum("size").alias("words"))
     known = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, max_repeat)
-    by_source = Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("start", F.coalesce(F.sum("words").over(by_source), F.lit(0)))
-    starts = starts.join(known, starts["source"].eqNullSafe(known["source"])).select(
-        starts["source"].alias("__s"), F.col("prefix").alias("__p"), "start", "source_size", "rank", "target").select(F.struct("*").alias("__start"))
-    join = keyed["__weft.source"].eqNullSafe(F.col("__start.__s")) & (pre(keyed["__weft.h"]) == F.col("__start.__p"))
-    joined = keyed.join(starts, join)
-    inside = Window.partitionBy("__start.__s", "__start.__p").orderBy("__weft.h").rowsBetween(Window.unboundedPreceding, -1)
+    # words before a prefix in two levels, so that no window holds all prefixes of a source
+    top = F.substring("__weft_p", 1, digits // 2)
+    tops = sums.groupBy("__weft_s", top.alias("__top")).agg(F.sum("words").alias("words"))
+    rows_before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("__weft_s", "__top", F.coalesce(F.sum("words").over(rows_before(Window.partitionBy("__weft_s").orderBy("__top"))), F.lit(0)).alias("above"))
+    within = F.coalesce(F.sum("words").over(rows_before(Window.partitionBy("__weft_s", "__top").orderBy("__weft_p"))), F.lit(0))
+    starts = sums.withColumn("__top", top).withColumn("within", within).join(tops, ["__weft_s", "__top"])
+    starts = starts.join(known.withColumn("__weft_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))).drop("source"), "__weft_s")
+    starts = starts.select("__weft_s", "__weft_p", F.struct((F.col("above") + F.col("within")).alias("start"), "source_size", "rank", "target").alias("__start"))
+    joined = keyed.join(starts, ["__weft_s", "__weft_p"])
+    inside = rows_before(Window.partitionBy("__weft_s", "__weft_p").orderBy("__weft.h"))
     offset = F.col("__start.start") + F.coalesce(F.sum("__weft.size").over(inside), F.lit(0))
     joined = joined.withColumn("__off", offset)
     size, whole, target = F.col("__weft.size"), F.col("__start.source_size"), F.col("__start.target")
@@ -108,12 +112,12 @@ def plan(
     took = [F.greatest(F.lit(0), F.least(size, F.floor(target) - a)) for a in at]
     position = [F.when(t > 0, F.round(_position(F.coalesce(F.try_divide(a, target), F.lit(0.0)), F.col("__start.rank"), schedules), 9)) for a, t in zip(at, took)]
     mix = F.struct(size.alias("size"), whole.alias("source_size"), target.alias("target"), sum(took[1:], took[0]).cast("long").alias("taken"), F.array_compact(F.array(*position)).alias("positions"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"], mix.alias("mix"))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], mix.alias(out))
 
 
-def curriculum(planned: DataFrame) -> DataFrame:
-    """One row for each copy taken, with its `position`, range-sorted by it; the columns of docs stay, mix goes."""
-    copies = planned.withColumn("position", F.explode("mix.positions")).drop("mix")
+def curriculum(planned: DataFrame, mix: str = "mix") -> DataFrame:
+    """One row for each copy taken, with its `position`, range-sorted by it; the columns of docs stay (but one named position is replaced), mix goes."""
+    copies = planned.withColumn("position", F.explode(F.col(mix)["positions"])).drop(mix)
     return copies.repartitionByRange("position").sortWithinPartitions("position")
 
 

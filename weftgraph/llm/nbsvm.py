@@ -6,7 +6,9 @@ and a linear hinge-loss model is fitted by dual coordinate descent (Hsieh et al.
 rows: `sample` rows of each class, by hash of the id. A logistic curve on the margins of the sample turns margins into scores.
 
 Defined results: null or empty text has no features and gets the score of the intercept. Repeated labels of an id are averaged;
-null labels don't count. With no labelled rows, or one class only, every score is that class's share (0.5 without rows).
+null labels don't count. With no labelled rows, or one class only, every score is that class's share (0.5 without rows). Repeated rows count each, ties
+of hashes go by id. A text's features are one bit each, so its length bounds nothing but its own task's time. Other columns pass through; columns
+of the names of score and prediction are replaced.
 """
 
 from __future__ import annotations
@@ -24,8 +26,6 @@ from weftgraph.llm.common import U64, encode, map_texts, word_hashes
 
 DIMS = 1 << 16
 SAMPLE = 5000
-#: Labels are broadcast up to this many rows (16 bytes each); beyond it the join is a shuffle.
-BROADCAST_ROWS = 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -146,10 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cost: float =
     """docs: the training rows only. The driver gets at most DIMS counts and 2 * sample vectors."""
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("__id"))
     marks = marks.agg((F.avg(F.col(label).cast("double")) >= 0.5).alias("good")).withColumn("h", F.xxhash64("__id", F.lit(1)))
-    small = labels.count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else lambda df: df
     body = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("text"))
-    train = body.join(hint(marks), "__id")
+    train = body.join(marks, "__id")
     counted = train.select("text", "good").mapInPandas(_counts, "feature int, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
     totals = counted[counted["feature"] == -1]
     n_bad, n_good = (int(totals["bad"].sum()), int(totals["good"].sum())) if len(totals) else (0, 0)
@@ -162,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cost: float =
     q[real["feature"]] += real["bad"]
     ratios = np.log((p / (n_good + 2)) / (q / (n_bad + 2)))
     # the bounded sample: per class the smallest hashes among training rows, found by id before texts are read
-    known = body.select("__id").join(hint(marks), "__id")
+    known = body.select("__id").join(marks, "__id")
     picked = [known.where(F.col("good") == g).select("__id", "good", "h").distinct().orderBy("h", "__id").limit(sample) for g in (False, True)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * sample rows
     got = body.join(chosen, "__id").select("h", "good", "text").mapInPandas(_vectors, "h long, good boolean, ids binary").toPandas()

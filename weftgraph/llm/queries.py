@@ -98,7 +98,7 @@ def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
     return docs.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), "pii")
 
 

@@ -1,15 +1,17 @@
 """Substring dedup on sliding sentence spans.
 
-The run of `run` consecutive sentences at every sentence (more, until it has `min_words` words) and every single sentence of `ALONE` words or more are
-hashed (128 bits); the global join of the hashes finds spans that occur more than once. The first occurrence (smallest id, then earliest in the text) stays, and every
-sentence that any later occurrence covers is removed. Sentences end at . ! ? after a word, or at a line end.
-Sentences compare without case and spacing.
+Runs of consecutive sentences are hashed (128 bits): at every sentence the shortest run that starts there, and the shortest that ends there, of at
+least `run` sentences and `min_words` words. The global join of the hashes finds runs that occur more than once. The first occurrence (smallest
+id, then earliest in the text) stays, and every sentence that any later occurrence covers is removed. A repeated passage of that size is covered to its
+last sentence, since it holds the runs that end in it. A text too short for a run is one run as a whole. Sentences end at . ! ? after a word, or at a
+line end. Sentences compare without case and spacing.
 
 Hashes meet in a map-side combined aggregate, so a passage that a third of all documents share is one row for each
 task; only repeated hashes are joined back, and the join can be split at any key.
 
 Defined results: null text stays null with no sentences; empty text has none. Rows with equal id and text are one document
-(each gets the same result). Null ids sort last. Other columns pass through unchanged.
+(each gets the same result). Null ids sort last. Other columns pass through unchanged; columns named as the counts are replaced. An empty table gives
+an empty result. A text's arrays are held by one task, whatever its length.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import U64, encode, map_texts, materialize, mix64, random64, release, row_key, word_hashes
 
-RUN, MIN_WORDS, ALONE = 2, 12, 30
+RUN, MIN_WORDS = 2, 20
 _ENDS = np.zeros(256, bool)
 _ENDS[[33, 46, 63]] = True
 _SPACE = np.zeros(256, bool)
@@ -47,20 +49,21 @@ def split(text: object) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[first], count, mix64(value + count.astype(U64))
 
 
-def runs(counts: np.ndarray, hashes: np.ndarray, run: int, min_words: int, alone: int = ALONE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, sentence after the last, two 64-bit hashes) of the runs that start at each sentence, in order of the first sentence.
+def runs(counts: np.ndarray, hashes: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, sentence after the last, two 64-bit hashes) of a text's runs, in order.
 
-    A run has `run` sentences, more if these have fewer than min_words words; a sentence of `alone` words or more is a run by itself besides. Hashes are
-    differences of prefix sums weighted by powers of an odd base, so a run costs the same whatever its length.
+    Hashes are differences of prefix sums weighted by powers of an odd base, so a run costs the same whatever its length.
     """
+    n = len(counts)
     before = np.concatenate([[0], np.cumsum(counts)])
-    first = np.arange(len(counts))
-    last = np.maximum(first + run, np.searchsorted(before, before[:-1] + min_words))
-    single = np.flatnonzero((counts >= alone) & (last > first + 1))
-    first, last = np.concatenate([first, single]), np.concatenate([last, single + 1])
-    order = np.argsort(first, kind="stable")
-    order = order[last[order] <= len(counts)]
-    first, last = first[order], last[order]
+    if n < run or before[-1] < min_words:
+        first, last = np.zeros(min(n, 1), np.int64), np.full(min(n, 1), n, np.int64)
+    else:
+        at = np.arange(n)
+        end = np.maximum(at + run, np.searchsorted(before, before[:-1] + min_words))
+        start = np.minimum(at + 1 - run, np.searchsorted(before, before[1:] - min_words, side="right") - 1)
+        pairs = np.concatenate([(at * (n + 1) + end)[end <= n], (start * (n + 1) + at + 1)[start >= 0]])
+        first, last = np.divmod(np.unique(pairs), n + 1)
     out = []
     for k, base in enumerate((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)):
         power = np.cumprod(np.full(len(counts), base, U64))

@@ -15,31 +15,40 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit on the labelled documents, drop what scores below 0.3."""
+    """Fit on all labelled documents (it scores those too), drop what scores below 0.3.
+
+    Null and empty texts get the score of the intercept, repeated rows equal scores; a score of 0.3 stays. Without labels every score is 0.5 and all rows stay.
+    """
     model, ratios = nbsvm.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = nbsvm.score(docs, model, ratios, score_col="__weft_score", predicted_col="__weft_predicted")
     return scored.where("__weft_predicted = 1").drop("__weft_score", "__weft_predicted")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8 or more)."""
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8 or more): the smallest id, a null id last.
+
+    Null, empty and blank texts are nobody's duplicates; of rows with equal id and text one stays.
+    """
     return minhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item. Null and empty texts and items match nothing; repeated rows share their fate."""
     return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pseudonyms for personal data in text; n_chars follows the text."""
-    done = pii.pseudonymize(docs, spans=None)
+    """Pseudonyms for personal data in text under the session's key; n_chars follows the text. Null and empty texts stay."""
+    done = pii.pseudonymize(docs, pii.session_key(spark), spans=None)
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of documents in training order: the columns of documents and position."""
-    return mixing.curriculum(mixing.plan(docs))
+    """Copies of documents in training order: the columns of documents and position (replacing one of that name).
+
+    Null and empty texts have no words and are taken no times; a null source is one of its own; repeated rows are interchangeable.
+    """
+    return mixing.curriculum(mixing.plan(docs, out="__weft_mix"), "__weft_mix")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
+from weftgraph.plans.prefix import running_total
 from weftgraph.plans.scratch import materialize, release
 
 
@@ -76,9 +77,10 @@ def pagerank_steps(graph: Graph, alpha: float, steps: int) -> DataFrame:
     return pagerank(graph, alpha, 0.0, steps)
 
 
-def delta_pagerank(graph: Graph, damping: float = 0.85, threshold: float = 0.01, max_iterations: int = 100) -> DataFrame:
+def delta_pagerank(graph: Graph, damping: float = 0.85, threshold: float = 0.01, max_iterations: int = 1000, partial: bool = False) -> DataFrame:
     """(id, rank): residual form. Every vertex starts with a residual of 1 - damping; residuals above the threshold move into the
-    rank and are passed on, damped, over the out-degree. Ranks are not divided by the number of vertices."""
+    rank and are passed on, damped, over the out-degree. Ranks are not divided by the number of vertices. Without `partial`, ranks that have not
+    settled in max_iterations are an error."""
     e = graph.edges.select("src", "dst")
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     shares = materialize(e.join(out, "src"))
@@ -95,11 +97,14 @@ def delta_pagerank(graph: Graph, damping: float = 0.85, threshold: float = 0.01,
         state = fresh
         if state.where(F.col("residual") > threshold).isEmpty():
             break
+    else:
+        if not partial:
+            raise RuntimeError(f"ranks did not settle in {max_iterations} iterations")
     release(shares)
     return state.select("id", "rank")
 
 
-def personalized_pagerank(graph: Graph, seeds: list[int], alpha: float = 0.85, epsilon: float = 1e-4, max_iterations: int = 200) -> DataFrame:
+def personalized_pagerank(graph: Graph, seeds: list[int], alpha: float = 0.85, epsilon: float = 1e-4, max_iterations: int = 2000) -> DataFrame:
     """(query_id, id, p, r) by parallel push, one run for each seed.
 
     A frontier vertex adds 2a/(1+a) of its residual to p and spreads (1-a)/(1+a) of it over its out-edges; a vertex enters the
@@ -126,6 +131,8 @@ def personalized_pagerank(graph: Graph, seeds: list[int], alpha: float = 0.85, e
         state = fresh
         if state.where("active").isEmpty():
             break
+    else:
+        raise RuntimeError(f"ranks did not settle in {max_iterations} iterations")
     release(pairs)
     return state.select("query_id", "id", "p", "r")
 
@@ -149,3 +156,13 @@ def hits(graph: Graph, max_iterations: int = 50, tol: float = 0.0) -> DataFrame:
             break
     release(e)
     return scores
+
+
+def hits_ranking(scores: DataFrame) -> DataFrame:
+    """hits() scores with hub_rank and authority_rank: 1, 2, ... from the largest score down, ties by id."""
+    out = scores
+    for name in ("hub", "authority"):
+        down = scores.select("id", (-F.col(name)).alias("down"))
+        ranks = running_total(down, ["down", "id"], F.lit(1).cast("long"), "before").select("id", (F.col("before") + 1).alias(f"{name}_rank"))
+        out = out.join(ranks, "id")
+    return out

@@ -9,8 +9,9 @@ from weftgraph.plans.scratch import materialize
 
 
 def uniform(seed: int, *cols: Column | str) -> Column:
-    """A draw in (0, 1) that depends on seed and cols only."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """A draw in (0, 1) that depends on seed and cols only: 13 hexadecimal digits of their md5, which any engine can repeat."""
+    key = F.concat_ws("|", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
+    return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
 def sample_neighbors(edges: DataFrame, nodes: DataFrame, fanout: int, *, weight: str | None = None, replace: bool = False, seed: int = 0, inward: bool = True) -> DataFrame:
@@ -57,9 +58,9 @@ def pack_traces(walks: DataFrame) -> DataFrame:
 def visited_neighbors(edges: DataFrame, nodes: DataFrame, k: int, *, walks: int = 10, length: int = 3, restart: float = 0.2, seed: int = 0) -> DataFrame:
     """(id, neighbour, visits): the k vertices that random walks from each node visit most."""
     seeds = nodes.select(F.col(nodes.columns[0]).alias("id")).distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
-    seeds = materialize(seeds.select(F.struct("id", "n").alias("walk"), "id"))
+    seeds = materialize(seeds.select(F.concat_ws(":", "id", "n").alias("walk"), "id"))
     seen = pack_traces(random_walk(edges, seeds, length, restart=restart, seed=seed)).where("step > 0")
-    counts = seen.groupBy(F.col("walk.id").alias("id"), F.col("id").alias("neighbour")).agg(F.count(F.lit(1)).alias("visits")).where("id <> neighbour")
+    counts = seen.groupBy(F.substring_index("walk", ":", 1).cast("long").alias("id"), F.col("id").alias("neighbour")).agg(F.count(F.lit(1)).alias("visits")).where("id <> neighbour")
     return counts.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("visits"), "neighbour"))).where(F.col("r") <= k).drop("r")
 
 

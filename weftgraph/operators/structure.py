@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
 from weftgraph.operators.components import connected_components
+from weftgraph.operators.sampling import uniform
 from weftgraph.plans.prefix import running_total
 from weftgraph.plans.scratch import materialize, release
 
@@ -42,6 +43,8 @@ def kcore(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
         value._weft_path = fresh._weft_path
         if fresh.where("moved").isEmpty():
             break
+    else:
+        raise RuntimeError(f"cores did not settle in {max_rounds} rounds")
     release(both)
     return graph.vertices.join(value, "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core"))
 
@@ -79,6 +82,8 @@ def spanning_forest(graph: Graph, allow_forest: bool = True, max_rounds: int = 6
         fresh = materialize(label.join(merged, "c", "left").select("id", F.coalesce("new", "c").alias("c")))
         release(label, least)
         label = fresh
+    else:
+        raise RuntimeError(f"the forest did not settle in {max_rounds} rounds")
     if not allow_forest and label.select("c").distinct().count() > 1:
         raise ValueError("the graph is not connected")
     return chosen
@@ -87,7 +92,7 @@ def spanning_forest(graph: Graph, allow_forest: bool = True, max_rounds: int = 6
 def coloring(graph: Graph, seed: int = 0, max_rounds: int = 10_000) -> DataFrame:
     """(id, color): in round i, uncoloured vertices with the largest hashed priority around get colour 2i, those with the smallest 2i + 1."""
     both = materialize(_both(undirected(graph)))
-    left = materialize(graph.vertices.select("id", F.xxhash64("id", F.lit(seed)).alias("p")))
+    left = materialize(graph.vertices.select("id", uniform(seed, "id").alias("p")))
     done = left.where("false").select("id", F.lit(0).alias("color"))
     for i in range(max_rounds):
         if left.isEmpty():
@@ -100,6 +105,9 @@ def coloring(graph: Graph, seed: int = 0, max_rounds: int = 10_000) -> DataFrame
         fresh = materialize(state.where("color is null").select("id", "p"))
         release(left, state)
         left = fresh
+    else:
+        raise RuntimeError(f"vertices are left without a colour after {max_rounds} rounds")
+    release(both)
     return done
 
 
@@ -117,6 +125,8 @@ def betweenness(graph: Graph, sources: list[int], max_levels: int = 10_000) -> D
             break
         depth += 1
         seen = materialize(seen.unionByName(level))
+    else:
+        raise RuntimeError(f"more than {max_levels} levels")
     delta = seen.where("false").select("q", "id", F.lit(0.0).alias("delta"))
     for d in range(depth - 1, -1, -1):
         below = seen.where(F.col("level") == d + 1).join(delta, ["q", "id"], "left").select("q", F.col("id").alias("dst"), (F.lit(1.0) + F.coalesce("delta", F.lit(0.0))).alias("one"), F.col("sigma").alias("sigma_dst"))
@@ -171,6 +181,8 @@ def topological_layers(graph: Graph, max_layers: int = 100_000) -> DataFrame:
         done = ready if done is None else materialize(done.unionByName(ready))
         left = materialize(left.join(ready, "id", "left_anti"))
         layer += 1
+    else:
+        raise RuntimeError(f"more than {max_layers} layers")
     return done if done is not None else graph.vertices.where("false").select("id", F.lit(0).alias("layer"))
 
 

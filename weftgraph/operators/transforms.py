@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
 from weftgraph.operators.linear import power
+from weftgraph.operators.sampling import uniform
 from weftgraph.plans.prefix import running_total
-from weftgraph.plans.scratch import materialize
+from weftgraph.plans.scratch import materialize, release
 
 
 def metapath(steps: list[DataFrame]) -> DataFrame:
@@ -39,13 +40,13 @@ def halo(graph: Graph, parts: DataFrame, hops: int) -> DataFrame:
 
 def label_partition(graph: Graph, parts: int, rounds: int = 5) -> DataFrame:
     """(id, part): hashed parts, then rounds in which a vertex takes the part most common around it (ties: smallest). Stands for a multilevel partitioner."""
-    state = graph.vertices.select("id", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    state = graph.vertices.select("id", F.floor(uniform(0, "id") * parts).cast("int").alias("part"))
     both = graph.edges.select("src", "dst").unionByName(graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
     for r in range(rounds):
         votes = both.join(state.select(F.col("id").alias("dst"), "part"), "dst").groupBy("src", "part").agg(F.count(F.lit(1)).alias("n"))
         top = votes.groupBy(F.col("src").alias("id")).agg(F.max(F.struct("n", (-F.col("part")).alias("neg"))).alias("t")).select("id", (-F.col("t.neg")).alias("new"))
         # half of the vertices move in a round, so neighbours don't swap for ever
-        moves = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
+        moves = uniform(r + 1, "id") < 0.5
         state = materialize(state.join(top, "id", "left").select("id", F.when(moves, F.coalesce("new", "part")).otherwise(F.col("part")).cast("int").alias("part")))
     return state
 
@@ -104,19 +105,20 @@ def hyperedge_propagate(members: DataFrame, values: DataFrame, group: str, membe
     return m.join(up, "g").groupBy("member").agg(agg(F.col("value")).alias("value"))
 
 
-def laplacian_lambda_max(graph: Graph, rounds: int = 50) -> float:
+def laplacian_lambda_max(graph: Graph, rounds: int = 500, tol: float = 1e-9) -> float:
     """The largest eigenvalue of the symmetric normalised Laplacian, by power iteration."""
     both = graph.symmetric().edges.where("src <> dst").select("src", "dst").distinct()
     deg = both.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
     e = materialize(both.join(deg, "src").join(deg.select(F.col("src").alias("dst"), F.col("d").alias("dd")), "dst").selectExpr("src", "dst", "1 / sqrt(d * dd) as w"))
-    x = materialize(deg.select("src", (F.rand(7) - 0.5).alias("x")))
+    x = materialize(deg.select("src", (uniform(7, "src") - 0.5).alias("x")))
     value = 0.0
     for _ in range(rounds):
         ax = e.join(x.withColumnRenamed("src", "dst"), "dst").groupBy("src").agg(F.sum(F.col("w") * F.col("x")).alias("ax"))
         y = materialize(x.join(ax, "src").select("src", (F.col("x") - F.col("ax")).alias("y")))
         norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 0.0
-        if abs(norm - value) < 1e-9:
+        if abs(norm - value) < tol:
             return norm
         value = norm
-        x = materialize(y.select("src", (F.col("y") / norm).alias("x")))
-    return value
+        old, x = (x, y), materialize(y.select("src", (F.col("y") / norm).alias("x")))
+        release(*old)
+    raise RuntimeError(f"the eigenvalue did not settle in {rounds} rounds")

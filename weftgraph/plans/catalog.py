@@ -13,7 +13,8 @@ from weftgraph.operators import fixpoint, geo, linear, messages, ranking, ricci,
 from weftgraph.operators.fixpoint import Query, run_batch
 from weftgraph.plans import fixtures as fx
 from weftgraph.plans.prefix import dense_ids
-from weftgraph.sources import generators
+from weftgraph.plans.scratch import drop_dir, materialize, shared_dir
+from weftgraph.sources import files, generators
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -181,9 +182,9 @@ def connected_components(spark, d):
     return structure.components(fx.parts(spark, d))
 
 
-@query(f"WITH RECURSIVE {fx.GEO_SQL}, {fx.UNDIRECTED_SQL},\n{WCC_SQL}\nSELECT v AS vertex, CAST(d AS DOUBLE) AS value FROM w")
+@query(f"WITH RECURSIVE {fx.GEO_SQL}, {fx.UNDIRECTED_SQL},\n{WCC_SQL}\nSELECT v AS vertex, CAST(d AS DOUBLE) AS value, d AS label FROM w")
 def batch_wcc(spark, d):
-    return run_batch(fx.geo(spark, d), [Query(0, "wcc")]).state.select("vertex", "value")
+    return run_batch(fx.geo(spark, d), [Query(0, "wcc")]).state.select("vertex", "value", "label")
 
 
 @query(P("""l(v, d) USING KEY (v) AS (
@@ -225,7 +226,7 @@ def _delta_sql(steps: int) -> str:
 
 @query(_delta_sql(6))
 def delta_pagerank(spark, d):
-    return ranking.delta_pagerank(fx.parts(spark, d), max_iterations=6).select("id", F.round("rank", 9).alias("rank"))
+    return ranking.delta_pagerank(fx.parts(spark, d), max_iterations=6, partial=True).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query()
@@ -248,6 +249,12 @@ def hits(spark, d):
     return ranking.hits(fx.parts(spark, d), 4).select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
 
 
+@query(_hits_sql(4).rsplit("SELECT id,", 1)[0] + "SELECT id, row_number() OVER (ORDER BY round(h, 9) DESC, id) AS hub_rank, row_number() OVER (ORDER BY round(a, 9) DESC, id) AS authority_rank FROM h4")
+def hits_ranking(spark, d):
+    scores = ranking.hits(fx.parts(spark, d), 4).select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
+    return ranking.hits_ranking(scores).select("id", "hub_rank", "authority_rank")
+
+
 # -- structure ----------------------------------------------------------------------------------------------------------
 
 
@@ -271,7 +278,16 @@ def coloring(spark, d):
     return structure.coloring(fx.parts(spark, d))
 
 
-@query()
+TWO = "s AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS q FROM v ORDER BY id LIMIT 2)"
+
+
+@query(P(f"""{TWO},\n{_path_sql('bfs')},
+g(q, v, l, sigma) AS (SELECT q, id, 0, CAST(1 AS DOUBLE) FROM s UNION ALL
+  SELECT g.q, e.dst, g.l + 1, sum(g.sigma) FROM g JOIN e ON e.src = g.v JOIN t_bfs b ON b.q = g.q AND b.v = e.dst AND b.d = g.l + 1 GROUP BY g.q, e.dst, g.l),
+z(q, v, l, delta) AS (SELECT g.q, g.v, g.l, CAST(0 AS DOUBLE) FROM g JOIN (SELECT q, max(l) AS m FROM g GROUP BY q) x ON x.q = g.q AND x.m = g.l UNION ALL
+  SELECT p.q, p.v, p.l, coalesce(sum(p.sigma / k.sigma * (1 + c.delta)), 0) FROM g p JOIN (SELECT DISTINCT q, l FROM z) y ON y.q = p.q AND p.l = y.l - 1
+  LEFT JOIN e ON e.src = p.v LEFT JOIN z c ON c.q = p.q AND c.v = e.dst LEFT JOIN g k ON k.q = c.q AND k.v = c.v GROUP BY p.q, p.v, p.l)
+SELECT v.id, round(coalesce(t.bc, 0), 8) AS bc FROM v LEFT JOIN (SELECT v, sum(delta) * 0.5 AS bc FROM z WHERE l > 0 GROUP BY v) t ON t.v = v.id""", True))
 def betweenness(spark, d):
     g = fx.parts(spark, d)
     return structure.betweenness(g, fx.part_sources(g, 2)).select("id", F.round("bc", 8).alias("bc"))
@@ -448,6 +464,14 @@ _message("e_sub_v_max", "e.w - v.y", "max", lambda: messages.binary("sub", "e",
 _message("u_div_v_sum", "u.x / v.y", "sum", lambda: messages.binary("div", "u", "x", "v", "y"))
 
 
+_ENDS = {"u": ("x", "u.x"), "v": ("y", "v.y"), "e": ("weight", "e.w")}
+for _op, _sign in (("add", "+"), ("sub", "-"), ("mul", "*"), ("div", "/")):
+    for _a in "uve":
+        for _b in "uve":
+            if _a != _b and f"{_a}_{_op}_{_b}_sum" not in QUERIES:
+                _message(f"{_a}_{_op}_{_b}_sum", f"{_ENDS[_a][1]} {_sign} {_ENDS[_b][1]}", "sum", lambda op=_op, a=_a, b=_b: messages.binary(op, a, _ENDS[a][0], b, _ENDS[b][0]))
+
+
 @query(Q(FEAT + "SELECT e.src, e.dst, round(u.x * v.x + u.y * v.y, 6) AS m FROM e LEFT JOIN f u ON u.id = e.src LEFT JOIN f v ON v.id = e.dst"))
 def u_dot_v(spark, d):
     nodes = _feat(spark, d).select("id", F.array("x", "y").alias("z"))
@@ -551,13 +575,29 @@ def to_block(spark, d):
 # -- sampling, generators, geography ------------------------------------------------------------------------------
 
 
-@query()
+def _draw(seed: object, *cols: str) -> str:
+    """uniform() in SQL."""
+    return f"((CAST('0x' || substr(md5(concat_ws('|', {seed}, {', '.join(cols)})), 1, 13) AS BIGINT) + 0.5) / CAST(4503599627370496 AS DOUBLE))"
+
+
+def _picked(edges: str, at: str, fanout: int, seed: int, weight: str = "CAST(1 AS DOUBLE)") -> str:
+    return f"SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY -ln({_draw(seed, 'src', 'dst')}) / {weight}, src) AS r FROM {edges} WHERE dst IN (SELECT id FROM {at})) WHERE r <= {fanout}"
+
+
+@query(Q(f"SELECT src, dst, w AS weight FROM ({_picked('e', 'v', 5, 1, 'w')})"))
 def sample_neighbors(spark, d):
     g = fx.parts(spark, d)
     return sampling.sample_neighbors(g.edges, g.vertices, 5, weight="weight", seed=1)
 
 
-@query()
+WALK = f"""c AS (SELECT src, dst, w, sum(w) OVER (PARTITION BY src ORDER BY dst) AS hi, sum(w) OVER (PARTITION BY src) AS total FROM e),
+r AS (SELECT src, dst, (hi - w) / total AS lo, hi / total AS hi FROM c),
+k(walk, step, cur, trace) AS (
+  SELECT id, 0, id, [id] FROM v UNION ALL
+  SELECT walk, step + 1, coalesce(r.dst, -1), list_append(trace, coalesce(r.dst, -1)) FROM k LEFT JOIN r ON r.src = k.cur AND {_draw(1, 'walk', 'step')} > r.lo AND {_draw(1, 'walk', 'step')} <= r.hi WHERE step < 4)"""
+
+
+@query(P(WALK + "\nSELECT walk, trace FROM k WHERE step = 4", True))
 def random_walk(spark, d):
     g = fx.parts(spark, d)
     return sampling.random_walk(g.edges, g.vertices.select(F.col("id").alias("walk"), "id"), 4, weight="weight", seed=1)
@@ -569,18 +609,26 @@ def visited_neighbors(spark, d):
     return sampling.visited_neighbors(g.edges, g.vertices, 3, walks=4)
 
 
-@query()
+@query(Q(_SOME + f", b AS (SELECT src, dst FROM e), f0 AS ({_picked('b', 'k', 3, 0)}), n AS (SELECT DISTINCT src AS id FROM f0), f1 AS ({_picked('b', 'n', 2, 1)}) SELECT 0 AS layer, src, dst FROM f0 UNION ALL SELECT 1, src, dst FROM f1"))
 def node_flow(spark, d):
     return sampling.node_flow(fx.parts(spark, d).edges, _some(spark, d), [3, 2])
 
 
-@query()
+@query(Q(f", n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM v), a AS (SELECT src, CAST(floor({_draw(0, 'src', 'dst', '0')} * (SELECT count(*) FROM n)) AS BIGINT) AS n FROM e) SELECT DISTINCT a.src, n.id AS dst FROM a JOIN n USING (n) WHERE (a.src, n.id) NOT IN (SELECT (src, dst) FROM e)"))
 def negative_edges(spark, d):
     g = fx.parts(spark, d)
     return sampling.negative_edges(g.edges, g.vertices, 1)
 
 
-@query()
+def _partition_sql(parts: int, rounds: int) -> str:
+    out = [f"{fx.UNDIRECTED_SQL}, p0 AS (SELECT id, CAST(floor({_draw(0, 'id')} * {parts}) AS INTEGER) AS part FROM v)"]
+    for r in range(rounds):
+        out.append(f"""t{r} AS (SELECT id, part FROM (SELECT n.src AS id, p.part, row_number() OVER (PARTITION BY n.src ORDER BY count(*) DESC, p.part) AS k FROM n JOIN p{r} p ON p.id = n.dst GROUP BY n.src, p.part) WHERE k = 1),
+p{r + 1} AS MATERIALIZED (SELECT p.id, CASE WHEN {_draw(r + 1, 'p.id')} < 0.5 THEN coalesce(t.part, p.part) ELSE p.part END AS part FROM p{r} p LEFT JOIN t{r} t ON t.id = p.id)""")
+    return P(",\n".join(out) + f"\nSELECT id, part FROM p{rounds}")
+
+
+@query(_partition_sql(4, 5))
 def label_partition(spark, d):
     return transforms.label_partition(fx.parts(spark, d), 4)
 
@@ -590,7 +638,11 @@ def grid_graph(spark, d):
     return generators.grid(spark, 20)
 
 
-@query()
+RMAT = ", ".join(f"CASE WHEN u{k} < 0.5 THEN 0 WHEN u{k} < 0.6 THEN 1 WHEN u{k} < 0.7 THEN 2 ELSE 3 END AS q{k}" for k in range(10))
+
+
+@query(f"WITH r AS (SELECT {', '.join(f'{_draw(0, 'id', str(k))} AS u{k}' for k in range(10))} FROM (SELECT range AS id FROM range(8000))), q AS (SELECT {RMAT} FROM r) "
+       f"SELECT CAST({' + '.join(f'(q{k} // 2) * {2 ** (9 - k)}' for k in range(10))} AS BIGINT) AS src, CAST({' + '.join(f'(q{k} % 2) * {2 ** (9 - k)}' for k in range(10))} AS BIGINT) AS dst FROM q")
 def rmat_graph(spark, d):
     return generators.rmat(spark, 10, 8000)
 
@@ -628,4 +680,25 @@ def geolocate(spark, d):
     return geo.geolocate(g, _places(spark, d).withColumn("id", F.col("id") + 1000), 2, 5)
 
 
+# -- files written below the shared folder and read again -----------------------------------------------------------------
+
+
+def _round_trip(name: str, sql: str, write: Callable, read: Callable) -> None:
+    def run(spark, d):
+        path = shared_dir(spark)
+        write(fx.parts(spark, d), path)
+        out = materialize(read(spark, path))
+        drop_dir(spark, path)
+        return out
+
+    query(Q(sql), name)(run)
+
+
+_E = "SELECT src, dst, w AS weight FROM e"
+_round_trip("matrix_market_file", _E, lambda g, p: files.write_matrix_market(g.edges, p, 1 << 40), lambda s, p: files.read_matrix_market(s, p)[0])
+_round_trip("adjacency_file", _E, lambda g, p: files.write_adjacency(g, p, weighted=True), files.read_adjacency)
+_round_trip("csr_folder", _E, files.write_csr, files.read_csr)
+_round_trip("saved_graphs", "SELECT src, dst, w AS weight, CAST(src % 3 AS INTEGER) AS graph_id FROM e WHERE src % 3 <> 1", lambda g, p: files.save_graphs(g.edges.withColumn("graph_id", (F.col("src") % 3).cast("int")), p), lambda s, p: files.load_graphs(s, p, [0, 2]))
+
+
 FLAGSHIP = heterogeneous_batch

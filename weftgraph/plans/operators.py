@@ -181,7 +181,7 @@ def ricci_communities(spark, d):
 
 @query()
 def laplacian_lambda_max(spark, d):
-    value = transforms.laplacian_lambda_max(fx.geo(spark, d), 10)
+    value = transforms.laplacian_lambda_max(fx.geo(spark, d))
     return spark.createDataFrame([(round(value, 6),)], "lambda_max double")
 
 

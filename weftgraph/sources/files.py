@@ -19,10 +19,27 @@ from weftgraph.plans.prefix import running_total
 EDGES = "src long, dst long, weight double"
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(o, value) of the lines that are not blank; o orders them by file name, then by place in the file.
+
+    Spark packs files and blocks into tasks by size, but reads the lines of a block one after the other, so block starts and row numbers give their order.
+    """
+    text = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("o"))
+    return text.where("trim(value) <> ''").select("o", F.trim("value").alias("value"))
+
+
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(k, value): the lines numbered over all parts of path."""
+    flat = _lines(spark, path).select("value", "o.file_path", "o.file_block_start", "o.row")
+    return running_total(flat, ["file_path", "file_block_start", "row"], F.lit(1).cast("long"), "k").select("k", "value")
+
+
 def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """((src, dst, weight) on 0-based ids, header). Pattern entries weigh 1; symmetric files mirror what is off the diagonal."""
-    head = spark.read.text(path).where("value is not null and trim(value) <> ''").limit(1).first()
-    banner = (head[0] if head else "").lower().split()
+    lines = _lines(spark, path)
+    comment = F.startswith("value", F.lit("%"))
+    head = lines.agg(F.min_by("value", "o").alias("banner"), F.min_by(F.when(~comment, F.col("value")), F.when(~comment, F.col("o"))).alias("size")).first()
+    banner = (head.banner or "").lower().split()
     if len(banner) < 5 or banner[0] != "%%matrixmarket" or banner[1] != "matrix":
         raise ValueError("no Matrix Market banner")
     _, _, form, kind, symmetry = banner[:5]
@@ -30,17 +47,13 @@ def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, dict]
         raise ValueError("only coordinate files are supported")
     if kind not in ("real", "integer", "pattern", "double"):
         raise ValueError(f"{kind} values are not supported")
-    parts = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.text(path).where("not startswith(trim(value), '%') and trim(value) <> ''").select(parts.alias("p"))
-    size = lines.where(F.size("p") == 3).limit(1).first() if kind != "pattern" else None
-    if size is None:
-        size = spark.read.text(path).where("not startswith(trim(value), '%') and trim(value) <> ''").select(parts.alias("p")).limit(1).first()
-    rows, cols, nnz = (int(x) for x in size.p)
+    rows, cols, nnz = (int(x) for x in (head.size or "").split())
     # the size line is the first line that is no comment; entries are the others
-    body = lines.withColumn("i", F.monotonically_increasing_id())
-    first = body.agg(F.min("i")).first()[0]
+    body = lines.where(~comment).select("o", F.split("value", r"\s+").alias("p"))
+    first = body.agg(F.min("o").alias("first"))
+    body = body.join(F.broadcast(first), F.col("o") > F.col("first"))  # one row
     weight = F.lit(1.0) if kind == "pattern" else F.get("p", F.lit(2)).cast("double")
-    e = body.where(F.col("i") != first).select((F.col("p")[0].cast("long") - 1).alias("src"), (F.col("p")[1].cast("long") - 1).alias("dst"), weight.alias("weight"))
+    e = body.select((F.col("p")[0].cast("long") - 1).alias("src"), (F.col("p")[1].cast("long") - 1).alias("dst"), weight.alias("weight"))
     if not e.where("src < 0 or dst < 0").isEmpty():
         raise ValueError("entries are numbered from 1")
     if symmetry == "symmetric":
@@ -57,13 +70,14 @@ def write_matrix_market(edges: DataFrame, path: str, n: int) -> None:
 
 def read_smtx(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
     """Three lines: sizes, row offsets, column ids. Weights are hashed draws from 1 to 10."""
-    lines = [r.value for r in spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n")).alias("value")).where("trim(value) <> ''").limit(3).collect()]
-    rows, _, nnz = (int(x) for x in lines[0].replace(",", " ").split())
-    offsets, cols = (np.array(x.split(), np.int64) for x in lines[1:3])
-    if len(offsets) != rows + 1 or len(cols) != nnz or offsets[-1] != nnz:
+    lines = _numbered(spark, path)
+    size = lines.where("k = 0").first()
+    rows, _, nnz = (int(x) for x in size.value.replace(",", " ").split())
+    offsets, cols = (lines.where(F.col("k") == k).select(F.posexplode(F.split("value", r"\s+")).alias("position", "x")).selectExpr("bigint(position) as position", "double(x) as x") for k in (1, 2))
+    ends = offsets.agg(F.count(F.lit(1)).alias("n"), F.max_by("x", "position").alias("last")).first()
+    if ends.n != rows + 1 or cols.count() != nnz or ends.last != nnz:
         raise ValueError("sizes and counts differ")
-    src = np.repeat(np.arange(rows), np.diff(offsets))
-    e = spark.createDataFrame(pd.DataFrame({"src": src, "dst": cols}))
+    e = _from_arrays(offsets, cols, None).select("src", "dst")
     return e.withColumn("weight", (F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(10)) + 1).cast("double"))
 
 
@@ -131,8 +145,7 @@ def read_edge_list(spark: SparkSession, path: str, weighted: bool = False) -> Da
 
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     """AdjacencyGraph or WeightedAdjacencyGraph text: n, m, n row starts, m targets[, m weights], one number a line."""
-    text = spark.read.text(path).where("trim(value) <> ''").select(F.trim("value").alias("value"))
-    lines = running_total(text.withColumn("i", F.monotonically_increasing_id()), ["i"], F.lit(1).cast("long"), "k")
+    lines = _numbered(spark, path)
     head = {r.k: r.value for r in lines.where("k < 3").collect()}
     weighted, n, m = head[0] == "WeightedAdjacencyGraph", int(head[1]), int(head[2])
     num = lines.where("k >= 3").select((F.col("k") - 3).alias("k"), F.col("value").cast("double").alias("x"))
@@ -194,8 +207,7 @@ def read_hypergraph(spark: SparkSession, path: str) -> DataFrame:
 
     The half by vertices alone defines the membership; the half by hyperedges repeats it.
     """
-    text = spark.read.text(path).where("trim(value) <> ''").select(F.trim("value").alias("value"))
-    lines = running_total(text.withColumn("i", F.monotonically_increasing_id()), ["i"], F.lit(1).cast("long"), "k")
+    lines = _numbered(spark, path)
     head = {r.k: r.value for r in lines.where("k < 5").collect()}
     if head.get(0) not in ("AdjacencyHypergraph", "WeightedAdjacencyHypergraph"):
         raise ValueError("no hypergraph header")
@@ -267,3 +279,34 @@ def save_graphs(edges: DataFrame, path: str) -> None:
 def write_values(values: DataFrame, path: str) -> None:
     """`vertex value` text lines."""
     values.select(F.concat_ws(" ", *values.columns).alias("value")).write.text(path)
+
+
+def matrix_market_graph(spark: SparkSession, path: str) -> Graph:
+    """The graph of a Matrix Market file on vertices 0 .. max(rows, cols) - 1, edges sorted by source and target."""
+    e, head = read_matrix_market(spark, path)
+    return Graph(e.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst"), spark.range(max(head["rows"], head["cols"])))
+
+
+def write_csr(graph: Graph, path: str) -> None:
+    """Compressed rows as two Parquet folders: offsets (position, x), one more than vertices 0 .. n - 1, and edges (position, dst, weight)."""
+    spark = graph.edges.sparkSession
+    top, m = graph.vertices.agg(F.max("id")).first()[0], graph.edges.count()
+    full = Graph(graph.edges, spark.range(0 if top is None else top + 1))
+    offsets = full.csr_offsets().select(F.col("id").alias("position"), F.col("offset").cast("double").alias("x"))
+    end = spark.range(1).select(F.lit(0 if top is None else top + 1).cast("long").alias("position"), F.lit(float(m)).alias("x"))
+    offsets.unionByName(end).write.parquet(f"{path}/offsets")
+    e = running_total(graph.edges, ["src", "dst", "weight"], F.lit(1).cast("long"), "position")
+    e.select("position", "dst", "weight").write.parquet(f"{path}/edges")
+
+
+def read_csr(spark: SparkSession, path: str) -> DataFrame:
+    """Edges that write_csr() wrote."""
+    e = spark.read.parquet(f"{path}/edges")
+    column = lambda c: e.select("position", F.col(c).cast("double").alias("x"))
+    return _from_arrays(spark.read.parquet(f"{path}/offsets"), column("dst"), column("weight"))
+
+
+def load_graphs(spark: SparkSession, path: str, graph_ids: list[int] | None = None) -> DataFrame:
+    """What save_graphs() wrote; with graph_ids only their folders are read."""
+    e = spark.read.parquet(path)
+    return e if graph_ids is None else e.where(F.col("graph_id").isin(graph_ids))

@@ -76,3 +76,26 @@ def test_query_stream(spark, tmp_path):
     got = []
     serve(stream, g, lambda df, _: got.extend(df.collect()), f"{tmp_path}/ck", once=True).awaitTermination(120)
     assert {(r.query_id, r.vertex): r.value for r in got} == {(0, 0): 0.0, (0, 1): 1.0, (0, 2): 2.0, (1, 1): 0.0, (1, 2): 1.0}
+
+
+def test_parts_of_unequal_size_keep_their_order(spark, tmp_path):
+    """Spark packs small files before large ones or after; lines count by file name."""
+    def parts(name, lines, cuts):
+        folder = tmp_path / name
+        folder.mkdir()
+        for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(lines)])):
+            (folder / f"part-{k:05d}").write_text("".join(f"{x}\n" for x in lines[a:b]))
+        return f"file://{folder}"
+
+    n = 400
+    ring = {(i, (i + 1) % n) for i in range(n)}
+    adjacency = ["AdjacencyGraph", n, n, *range(n), *[(i + 1) % n for i in range(n)]]
+    got = files.read_adjacency(spark, parts("a.adj", adjacency, [3, 5, 300, 310, 700])).collect()
+    assert {(r.src, r.dst) for r in got} == ring
+    market = ["%%MatrixMarket matrix coordinate real general", "% a comment", f"{n} {n} {n}", *[f"{a + 1} {b + 1} 2.5" for a, b in sorted(ring)]]
+    e, head = files.read_matrix_market(spark, parts("m.mtx", market, [1, 3, 200, 201, 350]))
+    assert {(r.src, r.dst) for r in e.collect()} == ring and (head["rows"], head["nnz"]) == (n, n)
+    hyper = ["AdjacencyHypergraph", n, n, 2, n, *range(n), *[i % 2 for i in range(n)], 0, n // 2, *range(0, n, 2), *range(1, n, 2)]
+    got = files.read_hypergraph(spark, parts("h.adj", hyper, [2, 9, 500, 505, 900])).collect()
+    assert {(r.hyperedge, r.member) for r in got} == {(i % 2, i) for i in range(n)}
+

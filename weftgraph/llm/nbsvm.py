@@ -146,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cost: float =
     """docs: the training rows only. The driver gets at most DIMS counts and 2 * sample vectors."""
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("__id"))
     marks = marks.agg((F.avg(F.col(label).cast("double")) >= 0.5).alias("good")).withColumn("h", F.xxhash64("__id", F.lit(1)))
+    marks = marks.hint("merge")  # labels grow with the documents: one plan at every size, never a broadcast
     body = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("text"))
     train = body.join(marks, "__id")
     counted = train.select("text", "good").mapInPandas(_counts, "feature int, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()

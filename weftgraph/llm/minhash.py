@@ -266,17 +266,24 @@ def near_duplicates(
     comps = materialize(connected_components(links, "a", "b"))
     labelled = _labelled(near, comps)
     # one class of each component stands for it in a bucket
-    agents = labelled.groupBy("key", "component").agg(F.min("node").alias("node"))
-    sizes = agents.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    agents = materialize(agents.join(sizes, "key").select("key", "size", "node"))
+    agents = labelled.groupBy("key", "component").agg(F.min("node").alias("node"), F.max("size").alias("classes"))
+    sizes = agents.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("classes").alias("classes")).where("size > 1")
+    agents = materialize(agents.drop("classes").join(sizes, "key").select("key", "size", "node", "classes"))
     more = forest(agents)
     comps = _merged(comps, more)
 
-    labelled = _labelled(near.join(agents.select("key").distinct(), "key", "left_semi"), comps)
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    # rows meet their key's facts by key and block, so that a hot key is spread over as many tasks as it has blocks
+    def in_blocks(keys: DataFrame) -> DataFrame:
+        """keys (key, size): one row for each block of a key."""
+        return keys.select("key", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / block).cast("int") - 1)).alias("own"))
+
+    spread = near.withColumn("own", own)
+    open_ = agents.groupBy("key").agg(F.max("classes").alias("size"))
+    labelled = _labelled(spread.join(in_blocks(open_), ["key", "own"], "left_semi"), comps)
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("size")).where("lo <> hi").select("key", "size")
     blocks = F.ceil(F.col("size") / block).cast("int")
     facing = F.explode(F.sequence(F.lit(0), blocks - 1))
-    wide = labelled.join(mixed, "key", "left_semi").select("key", "node", "component", own.alias("own"), facing.alias("face"))
+    wide = labelled.join(in_blocks(mixed), ["key", "own"], "left_semi").select("key", "node", "component", "own", facing.alias("face"))
     wide = wide.select("key", "node", "component", "own", F.least("own", "face").alias("block"), F.greatest("own", "face").alias("other"))
     wide = wide.join(classes.select("node", "sig", "keys"), "node")
     third = wide.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other", "node").mapInPandas(_crossing(bits, cut), "a binary, b binary")

@@ -5,11 +5,14 @@ All of it is one join per end that is read and one map-side combined aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce as fold
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 OPS: dict[str, Callable[[Column, Column], Column]] = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: F.try_divide(a, b)}
 REDUCERS: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg, "prod": F.product}
@@ -46,12 +49,13 @@ def apply_edges(edges: DataFrame, message: Column, out: str = "m", nodes: DataFr
 
 
 def update_all(edges: DataFrame, nodes: DataFrame, message: Column, reducer: str = "sum", out: str = "h", *, targets: DataFrame | None = None, default: Column | None = None) -> DataFrame:
-    """(id, out) for every target: the reduced messages; without in-edges `default` (null if not given)."""
+    """(id, out) for every target: the reduced messages; without in-edges `default`, which may read the target's old fields (null if not given)."""
     m = apply_edges(edges, message, "__m", nodes, targets)
     got = m.groupBy(F.col("dst").alias("id")).agg(REDUCERS[reducer](F.col("__m")).alias(out))
     ends = targets if targets is not None else nodes
-    joined = ends.select("id").join(got, "id", "left")
-    return joined.select("id", (F.coalesce(F.col(out), default) if default is not None else F.col(out)).alias(out))
+    if default is None:
+        return ends.select("id").join(got, "id", "left")
+    return ends.join(got.withColumnRenamed(out, "__h"), "id", "left").select("id", F.coalesce(F.col("__h"), default).alias(out))
 
 
 def pull(edges: DataFrame, nodes: DataFrame, at: DataFrame, message: Column, reducer: str = "sum", out: str = "h") -> DataFrame:
@@ -79,14 +83,26 @@ def multi_update_all(parts: list[tuple[DataFrame, DataFrame, Column, str]], cros
 
 def edge_softmax(edges: DataFrame, score: str, out: str = "a") -> DataFrame:
     """Softmax of an edge column over the in-edges of each target."""
-    w = Window.partitionBy("dst")
-    e = F.exp(F.col(score) - F.max(score).over(w))
-    return edges.withColumn("__e", e).withColumn(out, F.col("__e") / F.sum("__e").over(w)).drop("__e")
+    return _softmax(edges, score, "dst", out)
+
+
+def _softmax(rows: DataFrame, value: str, by: str, out: str) -> DataFrame:
+    """exp(value) over the sum of its group, null where the value is null.
+
+    The sum is of bins: a group's values are added up map-side by their rounded value, so only (group, bin, sum) rows are shuffled. A row
+    then meets its group's largest bin and sum in one join, which AQE may split for a large group; a window could not be split.
+    """
+    bins = rows.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("__by"), F.rint(value).alias("__bin")).agg(F.sum(F.exp(F.col(value) - F.rint(value))).alias("__s"))
+    top = bins.withColumn("__top", F.max("__bin").over(Window.partitionBy("__by")))
+    norm = top.groupBy("__by", "__top").agg(F.sum(F.col("__s") * F.exp(F.col("__bin") - F.col("__top"))).alias("__all"))
+    joined = rows.join(norm, F.col(by).eqNullSafe(F.col("__by")), "left")
+    return joined.withColumn(out, F.exp(F.col(value) - F.col("__top")) / F.col("__all")).drop("__by", "__top", "__all")
 
 
 def group_apply_edges(edges: DataFrame, by: str, value: Column, out: str) -> DataFrame:
-    """A window expression over all edges of one end; `value` is an aggregate."""
-    return edges.withColumn(out, value.over(Window.partitionBy(by)))
+    """Every edge with an aggregate over all edges of one end: a map-side combined aggregate and a join instead of a window."""
+    got = edges.groupBy(F.col(by).alias("__by")).agg(value.alias(out))
+    return edges.join(got, F.col(by).eqNullSafe(F.col("__by"))).select(*[edges[c] for c in edges.columns if c != out], out)
 
 
 def readout(rows: DataFrame, value: str, reducer: str = "sum", by: str = "graph_id", weight: str | None = None) -> DataFrame:
@@ -97,8 +113,8 @@ def readout(rows: DataFrame, value: str, reducer: str = "sum", by: str = "graph_
 
 
 def softmax_readout(rows: DataFrame, value: str, by: str = "graph_id", out: str = "p") -> DataFrame:
-    w = Window.partitionBy(by)
-    return rows.withColumn("__e", F.exp(F.col(value) - F.max(value).over(w))).withColumn(out, F.col("__e") / F.sum("__e").over(w)).drop("__e")
+    """Softmax of a column over the rows of each graph."""
+    return _softmax(rows, value, by, out)
 
 
 def broadcast_readout(rows: DataFrame, graphs: DataFrame, by: str = "graph_id") -> DataFrame:
@@ -110,3 +126,45 @@ def topk(rows: DataFrame, k: int, value: str, by: str, tie: str, ascending: bool
     """The k rows of each group with the largest (or smallest) value, and their rank."""
     order = F.col(value).asc() if ascending else F.col(value).desc()
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order, F.col(tie)))).where(F.col("rank") <= k)
+
+
+def map_edges(edges: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], nodes: DataFrame, out: str = "m", kind: str = "double") -> DataFrame:
+    """As apply_edges() with a user's function of an edge batch: it gets a frame of the edge's columns, u_<field> and v_<field>, and returns a column."""
+    e = edges
+    for end, key in (("u", "src"), ("v", "dst")):
+        e = e.join(nodes.select(F.col("id").alias(key), *[F.col(c).alias(f"{end}_{c}") for c in nodes.columns if c != "id"]), key, "left")
+
+    kept = edges.columns
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f[kept].assign(**{out: fn(f)})
+
+    return e.mapInPandas(batches, StructType([*edges.schema.fields, StructField(out, DataType.fromDDL(kind))]))
+
+
+def mailbox_reduce(
+    edges: DataFrame, nodes: DataFrame, message: Column, fn: Callable[[np.ndarray], float], out: str = "h", *, merge: Callable[[np.ndarray], float] | None = None,
+    box: int = 100_000,
+) -> DataFrame:
+    """(id, out) for targets that got messages: a user's function of the array of a target's messages, in no particular order; null messages are left out.
+
+    With `merge`, a function of partial results, a mailbox is cut in parts of about `box` messages, fn reduces each part where it lies and merge
+    the results, so a hub costs no task more than its share. Without it fn needs the whole mailbox at once, and one beyond `box` messages is an error.
+    """
+    m = apply_edges(edges, message, "__m", nodes).select(F.col("dst").alias("id"), F.xxhash64("src", "__m").alias("salt"), F.col("__m").cast("double").alias("m")).where("m is not null")
+    sizes = m.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / box).cast("int").alias("parts")).where("parts > 1")
+    if merge is None:
+        if not sizes.isEmpty():
+            raise ValueError(f"mailboxes of over {box} messages need a merge function")
+        return m.groupBy("id").applyInPandas(_reduced(fn, ["id"], "m", out), f"id long, {out} double")
+    split = m.join(sizes, "id", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.col("salt"), F.col("parts"))).otherwise(0).cast("int"))
+    some = split.groupBy("id", "part").applyInPandas(_reduced(fn, ["id", "part"], "m", "m"), "id long, part int, m double")
+    return some.groupBy("id").applyInPandas(_reduced(merge, ["id"], "m", out), f"id long, {out} double")
+
+
+def _reduced(fn: Callable[[np.ndarray], float], keys: list[str], column: str, out: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, out: [float(fn(rows[column].to_numpy()))]})
+
+    return one

@@ -56,6 +56,11 @@ class Graph:
         kept = self.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
         return Graph(kept, ids)
 
+    def edge_subgraph(self, numbered: DataFrame, eids: DataFrame, keep_vertices: bool = False) -> Graph:
+        """The edges of the asked numbers out of numbered(eid, src, dst, weight), over their own ends or all vertices."""
+        kept = numbered.join(eids.select(F.col(eids.columns[0]).alias("eid")).distinct(), "eid", "left_semi").select("src", "dst", "weight")
+        return Graph(kept, self.vertices if keep_vertices else None)
+
     def remove_edges(self, pairs: DataFrame) -> Graph:
         return self._with(self.edges.join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_anti"))
 
@@ -129,6 +134,12 @@ class Graph:
         common = pairs.select("src", "dst").distinct().join(one, "src").join(two, ["dst", "c"]).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_common"))
         return pairs.join(common, ["src", "dst"], "left").select("src", "dst", F.coalesce("n_common", F.lit(0)).alias("n_common"))
 
+    def common_neighbour_rows(self, pairs: DataFrame) -> DataFrame:
+        """(src, dst, common): one row for each out-neighbour that both ends of a pair have, for any further expression."""
+        one = self.edges.select("src", F.col("dst").alias("common")).distinct()
+        two = one.select(F.col("src").alias("dst"), "common")
+        return pairs.select("src", "dst").distinct().join(one, "src").join(two, ["dst", "common"]).select("src", "dst", "common")
+
     def is_multigraph(self) -> bool:
         return not self.simple().where("n > 1").isEmpty()
 

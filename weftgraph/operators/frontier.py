@@ -29,6 +29,16 @@ def advance(graph: Graph, frontier: DataFrame, keep: Column | str | None = None,
     return (out if keep is None else out.where(keep)).select("src", "dst", "weight")
 
 
+def advance_edges(graph: Graph, edges: DataFrame, keep: Column | str | None = None) -> DataFrame:
+    """As advance() from a frontier of edges(src, dst): the edges that leave their targets, once for each edge that arrives."""
+    return advance(graph, edges.select("dst"), keep)
+
+
+def advance_vertices(graph: Graph, frontier: DataFrame, keep: Column | str | None = None, *, backward: bool = False) -> DataFrame:
+    """(id): the far ends of advance(), each once."""
+    return advance(graph, frontier, keep, backward=backward, distinct=True).select(F.col("src" if backward else "dst").alias("id")).distinct()
+
+
 def filtered(frontier: DataFrame, keep: Column, kind: str = "predicated") -> DataFrame:
     """predicated: rows where `keep` holds; remove: rows where it does not (null counts as not); bypass: all rows, the id null where it does not."""
     if kind == "predicated":
@@ -105,6 +115,20 @@ def edge_work(graph: Graph, frontier: DataFrame) -> DataFrame:
     return each.agg(zero(F.col("k")).alias("pairs"), F.count(F.lit(1)).alias("n_vertices"), zero(F.col("k") * F.col("degree")).alias("virtual_edges"), zero(F.col("degree")).alias("actual_edges"))
 
 
+def query_masks(frontier: DataFrame) -> DataFrame:
+    """(vertex, word, mask) of frontier(query_id, vertex): bit q % 32 of word q / 32 says that query q holds the vertex."""
+    word = F.floor(F.col("query_id") / 32).cast("long")
+    bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(query_id % 32 AS INT))")
+    return frontier.groupBy("vertex", word.alias("word")).agg(F.bit_or(bit).alias("mask"))
+
+
+def update_buckets(rows: DataFrame, changes: DataFrame, key: str, priority: str, width: float = 1.0) -> DataFrame:
+    """(key, priority, bucket) after changes(key, priority): a changed row moves, a new one enters, a null priority takes a row out."""
+    new = changes.select(key, F.col(priority).alias("__new"), F.lit(True).alias("__changed"))
+    both = rows.select(key, priority).join(new, key, "full_outer").select(key, F.when(F.col("__changed"), F.col("__new")).otherwise(F.col(priority)).alias(priority))
+    return both.where(F.col(priority).isNotNull()).withColumn("bucket", F.floor(F.col(priority) / width))
+
+
 def next_bucket(rows: DataFrame, priority: str, width: float = 1.0, descending: bool = False) -> DataFrame:
     """The rows of the first bucket that is not empty (the last if descending), with its number; null priorities are in none."""
     numbered = rows.where(F.col(priority).isNotNull()).withColumn("bucket", F.floor(F.col(priority) / width))
@@ -129,6 +153,16 @@ def find_edges(numbered: DataFrame, eids: DataFrame) -> DataFrame:
     return numbered.join(eids.select(F.col(eids.columns[0]).alias("eid")).distinct(), "eid", "left_semi")
 
 
+def filter_edges(numbered: DataFrame, keep: Column | str) -> DataFrame:
+    """(eid) of the numbered edges where `keep` holds."""
+    return numbered.where(keep).select("eid")
+
+
+def edge_ids(numbered: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst, eid) for every edge between the asked pairs; a null eid where there is none."""
+    return pairs.select("src", "dst").distinct().join(numbered.select("src", "dst", "eid"), ["src", "dst"], "left")
+
+
 def predecessors(graph: Graph, nodes: DataFrame) -> DataFrame:
     """(id, other) for each distinct edge other -> id into the asked nodes."""
     return graph.in_subgraph(nodes).select(F.col("dst").alias("id"), F.col("src").alias("other")).distinct()

@@ -105,6 +105,26 @@ def hyperedge_propagate(members: DataFrame, values: DataFrame, group: str, membe
     return m.join(up, "g").groupBy("member").agg(agg(F.col("value")).alias("value"))
 
 
+def hyperedge_counts(members: DataFrame, active: DataFrame, group: str, member: str) -> DataFrame:
+    """(group, value): how many active members each hyperedge has, 0 included."""
+    m = members.select(F.col(group).alias("group"), F.col(member).alias("member")).distinct()
+    on = active.select(F.col(active.columns[0]).alias("member")).distinct().withColumn("on", F.lit(1))
+    return m.join(on, "member", "left").groupBy("group").agg(F.count("on").alias("value"))
+
+
+def type_subgraph(tables: dict[tuple[str, str, str], DataFrame], edge_types: list[str] | None = None, node_types: list[str] | None = None) -> dict[tuple[str, str, str], DataFrame]:
+    """The tables of the asked edge types, and of those whose two ends are of the asked node types."""
+    known = {t[1] for t in tables} | {n for t in tables for n in (t[0], t[2])}
+    if unknown := set((edge_types or []) + (node_types or [])) - known:
+        raise ValueError(f"unknown types {sorted(unknown)}")
+    return {t: df for t, df in tables.items() if (edge_types is None or t[1] in edge_types) and (node_types is None or {t[0], t[2]} <= set(node_types))}
+
+
+def add_weights(edges: DataFrame, low: int, high: int, seed: int = 0) -> DataFrame:
+    """(src, dst, weight): whole weights from low to high, both included, drawn by seed and ends; parallel edges weigh the same."""
+    return edges.select("src", "dst", (low + F.floor(uniform(seed, "src", "dst") * (high - low + 1))).cast("double").alias("weight"))
+
+
 def laplacian_lambda_max(graph: Graph, rounds: int = 500, tol: float = 1e-9) -> float:
     """The largest eigenvalue of the symmetric normalised Laplacian, by power iteration."""
     both = graph.symmetric().edges.where("src <> dst").select("src", "dst").distinct()

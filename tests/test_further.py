@@ -8,8 +8,9 @@ from weftgraph import api
 from weftgraph.__main__ import main
 from weftgraph.graph import Graph
 from weftgraph.operators import frontier as fr
-from weftgraph.operators import linear, messages, transforms
+from weftgraph.operators import linear, messages, sampling, transforms
 from weftgraph.operators.loop import Fixpoint, Reached
+from weftgraph.sources import generators
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +117,35 @@ def test_api_and_command_line(spark, graph, tmp_path):
     assert spark.read.parquet(str(tmp_path / "tc")).agg(F.sum("triangles")).first()[0] == 6
     with pytest.raises(SystemExit):
         main(["nothing", "g"])
+
+
+def test_nearest_by_segment_in_many_blocks(spark):
+    rng = np.random.default_rng(5)
+    at = rng.integers(0, 4, (60, 3)).astype(float)  # many ties
+    rows = [(i, i % 3 if i < 57 else None, at[i].tolist() if i != 30 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, s int, vec array<double>")
+    out = generators.knn_graph(df, 4, segment="s", block=5, chunk=3)
+    want = []
+    for i in range(57):
+        others = sorted((float(((at[i] - at[j]) ** 2).sum()), j) for j in range(57) if j % 3 == i % 3 and 30 not in (i, j))
+        want += [(j, i, d) for d, j in others[:4]] if i != 30 else []
+    assert got(out) == sorted(want, key=repr)
+    assert got(generators.knn_graph(df.where("false"), 4)) == []
+
+
+def test_negatives_by_weight(spark, graph):
+    heavy = spark.createDataFrame([(0, 0.0), (1, None), (4, 1.0), (5, 999.0)], "id long, w double")
+    pairs = got(sampling.negative_edges(graph.edges, heavy, 50, seed=1, weight="w"))
+    assert {v for _, v in pairs} <= {4, 5} and {(u, 5) for u in range(4)} <= set(pairs) and (3, 4) not in pairs
+    assert got(sampling.negative_edges(graph.edges, heavy.where("false"), 2, weight="w")) == []
+
+
+def test_layers_and_one_sided_walks(spark, graph):
+    seeds = spark.createDataFrame([(3,), (3,)], "id long")
+    assert got(sampling.layer_flow(graph.edges, seeds, [5, 5])) == [(0, 1, 3), (0, 2, 3), (1, 0, 1), (1, 0, 2)]
+    assert len({r.src for r in sampling.layer_flow(graph.edges, seeds, [1]).collect()}) == 1
+    buys = spark.createDataFrame([(1, 100), (2, 100), (2, 101), (3, 102)], "src long, dst long")
+    walks = sampling.one_sided_walk(buys, spark.createDataFrame([(i, 1 + i % 3) for i in range(60)], "walk long, id long"), 4)
+    traces = {r.walk: r.trace for r in walks.collect()}
+    assert all(len(t) == 5 and (set(t) <= {1, 2} if t[0] < 3 else set(t) == {3}) for t in traces.values())
+    assert any(set(t) == {1, 2} for t in traces.values())

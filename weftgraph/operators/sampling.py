@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.plans.scratch import materialize
+from weftgraph.plans.prefix import dense_ids, running_total
+from weftgraph.plans.scratch import materialize, release
 
 
 def uniform(seed: int, *cols: Column | str) -> Column:
@@ -50,6 +51,27 @@ def random_walk(edges: DataFrame | list[DataFrame], seeds: DataFrame, length: in
     return state.select("walk", "trace")
 
 
+def one_sided_walk(edges: DataFrame, seeds: DataFrame, length: int, *, weight: str | None = None, seed: int = 0) -> DataFrame:
+    """(walk, trace) over a bipartite graph: length + 1 ids of the seeds' side; each step goes over to the other side and back."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
+    both = random_walk([edges, back], seeds, 2 * length, weight=weight, seed=seed)
+    return both.select("walk", F.filter("trace", lambda _, i: i % 2 == 0).alias("trace"))
+
+
+def layer_flow(edges: DataFrame, seeds: DataFrame, sizes: list[int], seed: int = 0) -> DataFrame:
+    """(layer, src, dst): for each layer at most so many sources in all, drawn out of those that point at the layer before by the number of their edges
+    into it, with all their edges into it."""
+    at, out = seeds.select(F.col(seeds.columns[0]).alias("dst")).distinct(), None
+    for k, size in enumerate(sizes):
+        into = materialize(edges.select("src", "dst").join(at, "dst", "left_semi"))
+        drawn = into.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(-F.log(uniform(seed, F.lit(k), "src")) / F.col("n"), "src").limit(size).select("src")
+        got = materialize(into.join(drawn, "src", "left_semi").select(F.lit(k).alias("layer"), "src", "dst"))
+        release(into)
+        out = got if out is None else out.unionByName(got)
+        at = got.select(F.col("src").alias("dst")).distinct()
+    return out
+
+
 def pack_traces(walks: DataFrame) -> DataFrame:
     """(walk, step, id) of the visited ids only."""
     return walks.select("walk", F.posexplode("trace").alias("step", "id")).where("id >= 0")
@@ -74,11 +96,24 @@ def node_flow(edges: DataFrame, seeds: DataFrame, fanouts: list[int], seed: int
     return out
 
 
-def negative_edges(edges: DataFrame, vertices: DataFrame, per_edge: int, seed: int = 0) -> DataFrame:
-    """(src, dst) pairs that aren't edges: each edge's source with hashed targets, collisions with edges dropped."""
-    from weftgraph.plans.prefix import dense_ids
+def negative_edges(edges: DataFrame, vertices: DataFrame, per_edge: int, seed: int = 0, weight: str | None = None) -> DataFrame:
+    """(src, dst) pairs that aren't edges: each edge's source with hashed targets, collisions with edges dropped.
 
-    numbered = materialize(dense_ids(vertices, vertices.columns[0], "n"))
-    n = numbered.count()
-    draws = edges.select("src", "dst").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_edge - 1)))).select("src", F.floor(uniform(seed, "src", "dst", "k") * n).alias("n"))
-    return draws.join(numbered.select("n", F.col("key").alias("dst")), "n").select("src", "dst").distinct().join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    weight, a column of vertices, draws targets by it: the weights are laid end to end by id over as many bins as there are vertices, a draw
+    reads the vertices of its bin only. Vertices of null or no positive weight are not drawn.
+    """
+    draws = edges.select("src", "dst").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_edge - 1)))).select("src", uniform(seed, "src", "dst", "k").alias("u"))
+    key = vertices.columns[0]
+    if weight is None:
+        numbered = materialize(dense_ids(vertices, key, "n"))
+        n = numbered.count()
+        targets = draws.select("src", F.floor(F.col("u") * n).alias("n")).join(numbered.select("n", F.col("key").alias("dst")), "n")
+    else:
+        rows = vertices.where(F.col(weight) > 0).select(F.col(key).alias("dst"), F.col(weight).cast("double").alias("w"))
+        placed = materialize(running_total(rows, ["dst"], F.col("w"), "lo"))
+        n, total = placed.agg(F.count(F.lit(1)), F.max(F.col("lo") + F.col("w"))).first()
+        bin_of = lambda c: F.least(F.floor(c / F.lit(total or 1.0) * n), F.lit(n - 1))
+        held = placed.select("dst", "lo", (F.col("lo") + F.col("w")).alias("hi")).withColumn("bin", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("hi")))))
+        points = draws.withColumn("x", F.col("u") * F.lit(total or 1.0)).withColumn("bin", bin_of(F.col("x")))
+        targets = points.join(held, "bin").where("x >= lo and x < hi")
+    return targets.select("src", "dst").distinct().join(edges.select("src", "dst"), ["src", "dst"], "left_anti")

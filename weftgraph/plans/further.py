@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph.operators import frontier as fr
-from weftgraph.operators import linear, messages, transforms, traversal
+from weftgraph.operators import linear, messages, sampling, transforms, traversal
 from weftgraph.operators.loop import Reached
 from weftgraph.plans import fixtures as fx
 from weftgraph.plans.catalog import _SOME, BATCH, FEAT, NODES, SOURCES, P, Q, _draw, _feat, _path_sql, _simple, _some, _turns, query
+from weftgraph.sources import generators
 
 NUMBERED = ", k AS (SELECT row_number() OVER (ORDER BY src, dst, w) - 1 AS eid, src, dst, w AS weight FROM e) "
 
@@ -173,3 +174,48 @@ def gemm(spark, d):
 def hyperedge_counts(spark, d):
     active = fx.table(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey")
     return transforms.hyperedge_counts(fx.table(spark, d, "lineitem"), active, "l_orderkey", "l_suppkey")
+
+
+# -- sampling and neighbours ----------------------------------------------------------------------------------------------
+
+SIDES = f"""c AS (SELECT 0 AS side, src, dst, w FROM e UNION ALL SELECT 1, dst, src, w FROM e),
+s AS (SELECT *, sum(w) OVER (PARTITION BY side, src ORDER BY dst) AS hi, sum(w) OVER (PARTITION BY side, src) AS total FROM c),
+r AS (SELECT side, src, dst, (hi - w) / total AS lo, hi / total AS hi FROM s),
+k(walk, step, cur, trace) AS (
+  SELECT id, 0, id, [id] FROM v UNION ALL
+  SELECT walk, step + 1, coalesce(r.dst, -1), list_append(trace, coalesce(r.dst, -1)) FROM k
+  LEFT JOIN r ON r.side = step % 2 AND r.src = k.cur AND {_draw(1, 'walk', 'step')} > r.lo AND {_draw(1, 'walk', 'step')} <= r.hi WHERE step < 4)"""
+
+
+@query(P(SIDES + "\nSELECT walk, [trace[1], trace[3], trace[5]] AS trace FROM k WHERE step = 4", True))
+def one_sided_walk(spark, d):
+    g = fx.parts(spark, d)
+    return sampling.one_sided_walk(g.edges, g.vertices.selectExpr("id as walk", "id"), 2, weight="weight", seed=1)
+
+
+def _layer(k: int, at: str, size: int) -> str:
+    return f"SELECT src FROM (SELECT src, count(*) AS n FROM e WHERE dst IN ({at}) GROUP BY src) ORDER BY -ln({_draw(1, str(k), 'src')}) / n, src LIMIT {size}"
+
+
+@query(Q(_SOME + f", a AS ({_layer(0, 'SELECT id FROM k', 200)}), b AS ({_layer(1, 'SELECT src FROM a', 100)}) SELECT 0 AS layer, src, dst FROM e WHERE dst IN (SELECT id FROM k) AND src IN (SELECT src FROM a) "
+         "UNION ALL SELECT 1, src, dst FROM e WHERE dst IN (SELECT src FROM a) AND src IN (SELECT src FROM b)"))
+def layer_flow(spark, d):
+    return sampling.layer_flow(fx.parts(spark, d).edges, _some(spark, d), [200, 100], seed=1)
+
+
+@query(Q(f", t AS (SELECT p_partkey AS id, p_size AS w, sum(p_size) OVER (ORDER BY p_partkey) AS hi FROM part), x AS (SELECT src, {_draw(2, 'src', 'dst', '0')} * (SELECT max(hi) FROM t) AS x FROM e) "
+         "SELECT DISTINCT x.src, t.id AS dst FROM x JOIN t ON x.x >= t.hi - t.w AND x.x < t.hi WHERE (x.src, t.id) NOT IN (SELECT (src, dst) FROM e)"))
+def weighted_negative_edges(spark, d):
+    weights = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    return sampling.negative_edges(fx.parts(spark, d).edges, weights, 1, seed=2, weight="p_size")
+
+
+def _distance(n: int) -> str:
+    return " + ".join(f"(a.v[{i}] - b.v[{i}])::DOUBLE * (a.v[{i}] - b.v[{i}])::DOUBLE" for i in range(1, n + 1))
+
+
+@query(f"WITH p AS (SELECT p_partkey AS id, p_size % 10 AS s, [p_retailprice, CAST(p_size AS DOUBLE)] AS v FROM part) SELECT src, dst, round(dist2, 6) AS dist2 FROM "
+       f"(SELECT b.id AS src, a.id AS dst, {_distance(2)} AS dist2, row_number() OVER (PARTITION BY a.id ORDER BY {_distance(2)}, b.id) AS r FROM p a JOIN p b USING (s)) WHERE r <= 3")
+def segmented_knn(spark, d):
+    points = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).alias("s"), F.array("p_retailprice", F.col("p_size").cast("double")).alias("vec"))
+    return generators.knn_graph(points, 3, segment="s").select("src", "dst", F.round("dist2", 6).alias("dist2"))

@@ -8,7 +8,7 @@ from weftgraph import api
 from weftgraph.__main__ import main
 from weftgraph.graph import Graph
 from weftgraph.operators import frontier as fr
-from weftgraph.operators import linear, messages, sampling, transforms
+from weftgraph.operators import linear, messages, sampling, scheduling, transforms
 from weftgraph.operators.loop import Fixpoint, Reached
 from weftgraph.sources import generators
 
@@ -149,3 +149,11 @@ def test_layers_and_one_sided_walks(spark, graph):
     traces = {r.walk: r.trace for r in walks.collect()}
     assert all(len(t) == 5 and (set(t) <= {1, 2} if t[0] < 3 else set(t) == {3}) for t in traces.values())
     assert any(set(t) == {1, 2} for t in traces.values())
+
+
+def test_execute(spark):
+    found, ms = scheduling.execute(lambda i: spark.range(i).count(), 5, threads=3)
+    assert found == [0, 1, 2, 3, 4] and ms > 0
+    assert scheduling.execute(str, 0)[0] == []
+    with pytest.raises(ZeroDivisionError):
+        scheduling.execute(lambda i: 1 // i, 2)

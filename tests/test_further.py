@@ -52,6 +52,17 @@ def test_mailboxes(spark, graph):
     assert got(sent.select("src", "dst", "m")) == [(0, 1, 1.0), (0, 2, 2.0), (1, 3, 13.0), (2, 3, 23.0), (3, 0, 30.0), (3, 4, 34.0)]
 
 
+def test_parts_of_mailboxes_hold_no_more_than_a_box(spark):
+    # 1000 messages at 7, 20 at each of 300 others, in parts of 8 over several batches and tasks
+    edges = spark.range(7000).selectExpr("id AS src", "CASE WHEN id < 1000 THEN 7 ELSE 1000 + id % 300 END AS dst")
+    nodes = spark.range(7000).select("id", F.lit(1.0).alias("x"))
+    run = lambda merge, **more: dict(got(messages.mailbox_reduce(edges, nodes, messages.copy("u", "x"), np.sum, merge=merge, box=8, **more)))
+    want = {7: 1000.0} | {1000 + i: 20.0 for i in range(300)}
+    assert run(np.sum) == want and run(np.sum, hub=100) == want
+    assert set(run(np.max).values()) == {8.0} and run(len) == {k: -(-v // 8) for k, v in want.items()}
+    assert max(run(np.max, hub=100).values()) <= 8
+
+
 def test_edges_by_number_and_type(spark, graph):
     numbered = fr.numbered_edges(graph)
     sub = graph.edge_subgraph(numbered, spark.createDataFrame([(1,), (1,), (99,)], "eid long"))

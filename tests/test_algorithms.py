@@ -251,3 +251,39 @@ def test_laplacian_with_close_eigenvalues(spark):
     got, want = both([*stars, (10, 11), (50, 51)])  # an odd cycle at each hub
     assert got == pytest.approx(want, abs=1e-9)
     assert both([(0, 1), (1, 2), (2, 0), (100, 101)])[0] == 2.0
+
+
+def brute_curvature(weights):
+    nb = {}
+    for (u, v), w in weights.items():
+        nb.setdefault(u, {})[v] = nb.setdefault(v, {})[u] = w
+    out = {}
+    for (u, v), w in weights.items():
+        c = 2 / w
+        for x in (nb[u].keys() | nb[v].keys()) - {u, v}:
+            a, b = nb[u].get(x), nb[v].get(x)
+            if a and b:
+                s = (w + a + b) / 2
+                c += w / math.sqrt(max(abs(s * (s - w) * (s - a) * (s - b)), 1e-12))
+            else:
+                c -= 1 / math.sqrt(w * (a or b))
+        out[u, v] = min(max(w * c, -1e5), 1e5)
+    return out
+
+
+def test_triangle_rows_in_slices(spark):
+    rng = random.Random(5)
+    pairs = sorted({(min(p), max(p)) for p in ((rng.randrange(40), int(40 * rng.random() ** 2)) for _ in range(300)) if p[0] != p[1]})
+    want = sorted((a, b, c) for a, b in pairs for c in range(b + 1, 40) if (a, c) in pairs and (b, c) in pairs)
+    e = spark.createDataFrame(pairs, "u long, v long")
+    for share in (4, 1):
+        assert sorted(tuple(sorted(r)) for r in structure.triangle_rows(e, share).collect()) == want
+    assert len(want) > 20 and structure.triangle_rows(e.where("u < 0")).isEmpty()
+
+
+def test_ricci_of_a_hub_makes_no_row_for_each_pair_of_its_edges(spark):
+    n = 100_000  # 10^10 such rows
+    star = spark.range(1, n + 1).selectExpr("0L AS u", "id AS v").unionByName(spark.createDataFrame([(1, 2)], "u long, v long")).withColumn("w", F.lit(1.0))
+    got = {(r.u, r.v): r.curvature for r in ricci.curvature(star).where("v <= 3").collect()}
+    shared = 1 / math.sqrt(1.5 * 0.125)
+    assert got == pytest.approx({(0, 1): 2 + shared - (n - 2), (0, 2): 2 + shared - (n - 2), (0, 3): 2 - (n - 1), (1, 2): 2 + shared})

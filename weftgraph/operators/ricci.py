@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
 from weftgraph.operators.components import connected_components
-from weftgraph.operators.structure import components, undirected
+from weftgraph.operators.structure import components, triangle_rows, undirected
 from weftgraph.plans.scratch import materialize, release
 
 
@@ -15,21 +15,32 @@ def _weighted(e: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("other"), "w").unionByName(e.select(F.col("v").alias("id"), F.col("u").alias("other"), "w"))
 
 
-def curvature(edges: DataFrame) -> DataFrame:
+def curvature(edges: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     """edges(u, v, w), u < v -> (u, v, w, curvature) with vertex weights 1: w * (2/w + sum over triangles w/s - sum over exclusive neighbour
-    edges 1/sqrt(w * w_other)), s from Heron's area of the triangle, clamped to +-100000."""
-    nb = _weighted(edges)
-    left = edges.join(nb.select(F.col("id").alias("u"), F.col("other").alias("x"), F.col("w").alias("wu")), "u").where("x <> v")
-    right = edges.select("u", "v").join(nb.select(F.col("id").alias("v"), F.col("other").alias("x"), F.col("w").alias("wv")), "v").where("x <> u")
-    all_ = left.join(right, ["u", "v", "x"], "full_outer").select("u", "v", "x", "wu", "wv")
-    sided = all_.join(edges, ["u", "v"])
-    s = (F.col("w") + F.col("wu") + F.col("wv")) / 2
-    area = F.sqrt(F.greatest(F.abs(s * (s - F.col("w")) * (s - F.col("wu")) * (s - F.col("wv"))), F.lit(1e-12)))
-    tri = F.when(F.col("wu").isNotNull() & F.col("wv").isNotNull(), F.col("w") / area)
-    alone = F.when(F.col("wu").isNull() | F.col("wv").isNull(), 1 / F.sqrt(F.col("w") * F.coalesce("wu", "wv")))
-    sums = sided.groupBy("u", "v").agg(F.coalesce(F.sum(tri), F.lit(0.0)).alias("t"), F.coalesce(F.sum(alone), F.lit(0.0)).alias("x"))
-    c = F.col("w") * (2 / F.col("w") + F.coalesce("t", F.lit(0.0)) - F.coalesce("x", F.lit(0.0)))
-    return edges.join(sums, ["u", "v"], "left").select("u", "v", "w", F.least(F.greatest(c, F.lit(-1e5)), F.lit(1e5)).alias("curvature"))
+    edges 1/sqrt(w * w_other)), s from Heron's area of the triangle, clamped to +-100000.
+
+    Exclusive neighbours are all neighbours of both ends less those of triangles, so an edge needs one sum of each end, and only edges in a
+    triangle need more: no row is made for an edge and a neighbour. closed: the triangles (a, b, c) of the edges, if they are known already.
+    """
+    if closed is None:
+        edges = materialize(edges)
+        closed = triangle_rows(edges)
+    pair = lambda x, y: F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
+    sides = closed.select("a", "b", "c", F.explode(F.array(pair("a", "b"), pair("a", "c"), pair("b", "c"))).alias("e")).select("a", "b", "c", "e.u", "e.v")
+    whole = sides.join(edges, ["u", "v"]).groupBy("a", "b", "c").agg(F.collect_list(F.struct("u", "v", "w")).alias("e"))
+    w = [F.col("e")[k]["w"] for k in range(3)]
+    s = (w[0] + w[1] + w[2]) / 2
+    area = F.sqrt(F.greatest(F.abs(s * (s - w[0]) * (s - w[1]) * (s - w[2])), F.lit(1e-12)))
+    each = whole.select(F.explode("e").alias("e"), area.alias("area"), sum(1 / F.sqrt(x) for x in w).alias("three")).select("e.*", "area", "three")
+    shared = each.groupBy("u", "v").agg(F.sum(F.col("w") / F.col("area")).alias("t"), F.sum(F.col("three") - 1 / F.sqrt("w")).alias("both"), F.count(F.lit(1)).alias("n"))
+    ends = _weighted(edges).groupBy("id").agg(F.sum(1 / F.sqrt("w")).alias("s"), F.count(F.lit(1)).alias("k"))
+    at = lambda end: ends.select(F.col("id").alias(end), F.col("s").alias(f"s{end}"), F.col("k").alias(f"k{end}")).hint("shuffle_hash")
+    all_ = edges.join(shared, ["u", "v"], "left").join(at("u"), "u").join(at("v"), "v")
+    none = F.lit(0.0)
+    others = F.greatest(F.col("su") + F.col("sv") - 2 / F.sqrt("w") - F.coalesce("both", none), none)
+    alone = F.when(F.col("ku") + F.col("kv") - 2 > 2 * F.coalesce("n", F.lit(0)), others).otherwise(none)
+    c = F.col("w") * (2 / F.col("w") + F.coalesce("t", none) - alone / F.sqrt("w"))
+    return all_.select("u", "v", "w", F.least(F.greatest(c, F.lit(-1e5)), F.lit(1e5)).alias("curvature"))
 
 
 def ricci_flow(graph: Graph, iterations: int = 10) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from weftgraph.graph import Graph
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.sampling import uniform
 from weftgraph.plans.prefix import running_total
-from weftgraph.plans.scratch import materialize, release
+from weftgraph.plans.scratch import bucketed, materialize, release, reread
 
 
 def components(graph: Graph) -> DataFrame:
@@ -49,16 +51,43 @@ def kcore(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
     return graph.vertices.join(value, "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core"))
 
 
+def _oriented(pairs: DataFrame) -> DataFrame:
+    """(a, b, u, v, d): each pair from its end of lower degree to that of higher, ties by id; d is the higher degree."""
+    deg = _both(pairs).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+    ranked = pairs.join(deg.select(F.col("id").alias("u"), F.col("d").alias("du")), "u").join(deg.select(F.col("id").alias("v"), F.col("d").alias("dv")), "v")
+    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
+    return ranked.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("b"), "u", "v", F.greatest("du", "dv").alias("d"))
+
+
+def triangle_rows(pairs: DataFrame, share: int = 4) -> DataFrame:
+    """(a, b, c): each triangle of pairs(u, v), u < v, each pair once.
+
+    A vertex's list of later neighbours, by degree and id, holds at most the root of twice the edges. To each of them goes what follows it in the
+    list, as one row, to meet its own list. The vertices are dealt out in slices whose rows hold about `share` ids for each edge, so the disk
+    stays in proportion to the edges whatever their density.
+    """
+    late = F.array_sort(F.collect_list(F.struct("d", "b")))
+    lists = bucketed(_oriented(pairs.select("u", "v")).groupBy("a").agg(late.alias("late")).select("a", F.col("late.b").alias("late")), "a")
+    n = F.size("late").cast("long")
+    edges, ids = lists.agg(F.sum(n), F.sum(n * (n - 1) / 2)).first()
+    slices = max(1, math.ceil((ids or 0) / (share * (edges or 1))))
+    near = lists.select(F.col("a").alias("b"), F.col("late").alias("near")).hint("shuffle_hash")
+    found = []
+    for k in range(slices):
+        some = lists.where(F.pmod(F.xxhash64("a"), F.lit(slices)) == k).select("a", "late", F.posexplode("late").alias("at", "b"))
+        rest = some.where(F.col("at") < F.size("late") - 1).select("a", "b", F.slice("late", F.col("at") + 2, F.size("late") - F.col("at") - 1).alias("rest"))
+        found.append(materialize(rest.join(near, "b").select("a", "b", F.explode(F.array_intersect("rest", "near")).alias("c"))))
+    out = found[0] if slices == 1 else materialize(reread(found[0], [f._weft_path for f in found]))
+    release(lists, *(found if slices > 1 else []))
+    return out
+
+
 def triangles(graph: Graph) -> DataFrame:
     """(id, triangles): triangles of undirected edges at each vertex; loops don't count. The sum is three times the triangles.
 
     Edges point from lower to higher degree, so a hub's pairs of neighbours are never formed.
     """
-    pairs = undirected(graph)
-    deg = _both(pairs).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
-    ranked = pairs.join(deg.select(F.col("id").alias("u"), F.col("d").alias("du")), "u").join(deg.select(F.col("id").alias("v"), F.col("d").alias("dv")), "v")
-    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
-    out = materialize(ranked.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("b"), "u", "v"))
+    out = materialize(_oriented(undirected(graph)).drop("d"))
     wedge = out.select("a", "b").join(out.select("a", F.col("b").alias("c")), "a").where("b < c")
     closed = wedge.join(out.select(F.col("u").alias("b"), F.col("v").alias("c")), ["b", "c"])
     counts = closed.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))

@@ -287,3 +287,16 @@ def test_ricci_of_a_hub_makes_no_row_for_each_pair_of_its_edges(spark):
     got = {(r.u, r.v): r.curvature for r in ricci.curvature(star).where("v <= 3").collect()}
     shared = 1 / math.sqrt(1.5 * 0.125)
     assert got == pytest.approx({(0, 1): 2 + shared - (n - 2), (0, 2): 2 + shared - (n - 2), (0, 3): 2 - (n - 1), (1, 2): 2 + shared})
+
+
+def test_ricci_flow_of_a_random_graph(spark):
+    rng = random.Random(6)
+    weights = {p: 1.0 for p in {(min(p), max(p)) for p in ((rng.randrange(16), rng.randrange(16)) for _ in range(60)) if p[0] != p[1]}}
+    for _ in range(2):
+        c = brute_curvature(weights)
+        step = min(1.0, 1 / (1.1 * max(map(abs, c.values())) + 1e-10))
+        moved = {p: max(w * (1 - step * c[p]), 1e-6) for p, w in weights.items()}
+        weights = {p: w * len(moved) / sum(moved.values()) for p, w in moved.items()}
+    c = brute_curvature(weights)
+    found = ricci.ricci_flow(Graph(spark.createDataFrame(sorted(weights), "src long, dst long")), 2).collect()
+    assert {(r.u, r.v): r.w for r in found} == pytest.approx(weights) and {(r.u, r.v): r.curvature for r in found} == pytest.approx(c)

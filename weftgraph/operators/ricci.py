@@ -47,15 +47,18 @@ def ricci_flow(graph: Graph, iterations: int = 10) -> DataFrame:
     """(u, v, w, curvature) after the flow: w <- max(w * (1 - step * c), 1e-6), step = min(1, 1 / (1.1 * max|c| + 1e-10)), mean weight kept at 1."""
     e = materialize(undirected(graph).withColumn("w", F.lit(1.0)))
     n = e.count()
-    out = materialize(curvature(e))
+    closed = triangle_rows(e)  # the flow changes weights only
+    out = materialize(curvature(e, closed))
+    release(e)
     for _ in range(iterations if n else 0):
         top = out.agg(F.max(F.abs("curvature"))).first()[0]
         step = min(1.0, 1.0 / (1.1 * top + 1e-10))
         moved = out.select("u", "v", F.greatest(F.col("w") * (1 - step * F.col("curvature")), F.lit(1e-6)).alias("w"))
         total = moved.agg(F.sum("w")).first()[0]
-        fresh = materialize(curvature(moved.withColumn("w", F.col("w") * (n / total))))
+        fresh = materialize(curvature(moved.withColumn("w", F.col("w") * (n / total)), closed))
         release(out)
         out = fresh
+    release(closed)
     return out
 
 

@@ -300,3 +300,23 @@ def test_ricci_flow_of_a_random_graph(spark):
     c = brute_curvature(weights)
     found = ricci.ricci_flow(Graph(spark.createDataFrame(sorted(weights), "src long, dst long")), 2).collect()
     assert {(r.u, r.v): r.w for r in found} == pytest.approx(weights) and {(r.u, r.v): r.curvature for r in found} == pytest.approx(c)
+
+
+def test_many_ricci_cuts_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(b, a) for a in range(40) for b in range(a) if rng.random() < 0.1]
+    weights = [0.5 + rng.random() * 9 for _ in pairs]
+    flowed = spark.createDataFrame([(u, v, w) for (u, v), w in zip(pairs, weights)], "u long, v long, w double")
+    cuts = [*weights, 0.1, 5.0, 5.0, 11.0]
+    rounds, run = [], ricci.connected_components
+    monkeypatch.setattr(ricci, "connected_components", lambda e: rounds.append(1) or run(e))
+    deg = {x: sum(x in p for p in pairs) for x in range(40)}
+    m2, want = 2 * len(pairs), []
+    for cut in cuts:
+        label = {x: x for x in range(40)}
+        for (u, v), w in zip(pairs, weights):
+            if w < cut and label[u] != label[v]:
+                label = {x: label[v] if c == label[u] else c for x, c in label.items()}
+        want.append(sum(2 * (1 - deg[u] * deg[v] / m2) / m2 for u, v in pairs if label[u] == label[v]))
+    assert ricci.cut_modularity(flowed, cuts) == pytest.approx(want) and len(cuts) > 64
+    assert len(rounds) <= 5

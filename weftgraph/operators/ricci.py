@@ -74,43 +74,62 @@ def cut_offs(flowed: DataFrame, step: float = 0.25) -> list[float]:
     return above + below
 
 
-def cut_modularity(flowed: DataFrame, cuts: list[float], block: int = 16) -> list[float]:
+def cut_modularity(flowed: DataFrame, cuts: list[float], block: int = 3) -> list[float]:
     """For each cut, modularity() of the components of the edges (u, v, w) below it, over all edges.
 
-    Components only merge as the cut rises: blocks of cuts, lowest first, work on the edges between the components of the block before,
-    and the components of all cuts of a block are found at once.
+    Components only merge as the cut rises, so each edge needs but the least cut that connects its ends. All edges search it at once: a round
+    tries `block` cuts spread over each span of cuts still open, on the span's own edges between the components of the cut below the span.
+    Every edge is in one span, so a round handles each edge once for each cut tried, and log(cuts) / log(block + 1) rounds do.
     """
     spark = flowed.sparkSession
     order = sorted(range(len(cuts)), key=cuts.__getitem__)
     deg = _weighted(flowed).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
     ends = flowed.join(deg.select(F.col("id").alias("u"), F.col("k").alias("ku")), "u").join(deg.select(F.col("id").alias("v"), F.col("k").alias("kv")), "v")
     m2 = 2 * flowed.count()
-    left = materialize(ends.select("u", "v", "w", (2 * (1 - F.col("ku") * F.col("kv") / m2) / m2).alias("gain")))
-    inside, found = 0.0, [0.0] * len(cuts)
-    for at in range(0, len(order), block):
-        part = order[at : at + block]
-        grid = F.broadcast(spark.createDataFrame([(k, float(cuts[c])) for k, c in enumerate(part)], "k int, cut double"))
-        key = lambda c: F.struct("k", F.col(c).alias("id"))
-        kept = left.join(grid, F.col("w") < F.col("cut")).select(key("u").alias("src"), key("v").alias("dst"))
-        labels = materialize(connected_components(kept).select("vertex.k", "vertex.id", F.col("component.id").alias("label")))
+    left = materialize(ends.select(F.lit(0).alias("span"), "u", "v", "w", (2 * (1 - F.col("ku") * F.col("kv") / m2) / m2).alias("gain")))
+    joined = [0.0] * (len(cuts) + 1)  # by place in order: the gain of the edges that this cut connects first; the last are never connected
+    spans = {0: (0, len(cuts))}  # places that may be the first, and the one that is if none of them
+    while spans:
+        tried = {s: sorted({low + (high - low) * (k + 1) // (block + 1) for k in range(block)}) for s, (low, high) in spans.items()}
+        grid = F.broadcast(spark.createDataFrame([(s, p, float(cuts[order[p]])) for s, places in tried.items() for p in places], "span int, place int, cut double"))
+        key = lambda c: F.struct("span", "place", F.col(c).alias("id"))
+        kept = left.join(grid, "span").where("w < cut").select(key("u").alias("src"), key("v").alias("dst"))
+        found = connected_components(kept)
+        labels = found.select("vertex.span", "vertex.place", "vertex.id", F.col("component.id").alias("label"))
 
         def labelled(rows: DataFrame, labels: DataFrame = labels) -> DataFrame:
             for c in ("u", "v"):
-                rows = rows.join(labels.select("k", F.col("id").alias(c), F.col("label").alias(f"l{c}")), ["k", c], "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+                rows = rows.join(labels.select("span", "place", F.col("id").alias(c), F.col("label").alias(f"l{c}")), ["span", "place", c], "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
             return rows
 
-        same = labelled(left.crossJoin(grid)).where("lu = lv").groupBy("k").agg(F.sum("gain").alias("gain"))
-        for r in same.collect():
-            found[part[r.k]] = r.gain
-        for c in part:
-            found[c] += inside
-        inside = found[part[-1]]
-        merged = labelled(left.withColumn("k", F.lit(len(part) - 1))).where("lu <> lv")
-        merged = merged.groupBy(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).agg(F.min("w").alias("w"), F.sum("gain").alias("gain"))
-        fresh = materialize(merged)
-        release(left, labels)
-        left = fresh
+        # an edge's first place that connects it ends its new span; the components of the place tried before begin it
+        tests = labelled(left.join(grid, "span")).groupBy("span", "u", "v").agg(
+            F.first("w").alias("w"), F.first("gain").alias("gain"), F.min(F.when(F.col("lu") == F.col("lv"), F.col("place"))).alias("first"),
+            F.max(F.when(F.col("lu") != F.col("lv"), F.struct("place", "lu", "lv"))).alias("last"),
+        )
+        moved = tests.select("span", F.coalesce("first", F.lit(-1)).alias("first"), F.coalesce("last.lu", "u").alias("a"), F.coalesce("last.lv", "v").alias("b"), "w", "gain")
+        merged = materialize(moved.groupBy("span", "first", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min("w").alias("w"), F.sum("gain").alias("gain")))
+        release(left, found)
+        inside, after = {}, []
+        for s, (low, high) in spans.items():
+            for at, end in zip([low, *[p + 1 for p in tried[s]]], [*tried[s], high]):
+                inside[s, end if end < high else -1] = (at, end)
+        for r in merged.groupBy("span", "first").agg(F.sum("gain").alias("gain")).collect():
+            at, end = inside[r.span, r.first]
+            if at == end:
+                joined[end] += r.gain
+            else:
+                after.append((r.span, r.first, len(after), at, end))
+        spans = {s: (at, end) for _, _, s, at, end in after}
+        again = F.broadcast(spark.createDataFrame([x[:3] for x in after], "span int, first int, next int"))
+        left = materialize(merged.join(again, ["span", "first"]).select(F.col("next").alias("span"), "u", "v", "w", "gain")) if spans else merged
+        if spans:
+            release(merged)
     release(left)
+    found, total = [0.0] * len(cuts), 0.0
+    for place, c in enumerate(order):
+        total += joined[place]
+        found[c] = total
     return found
 
 

@@ -320,3 +320,9 @@ def test_many_ricci_cuts_take_few_rounds(spark, monkeypatch):
         want.append(sum(2 * (1 - deg[u] * deg[v] / m2) / m2 for u, v in pairs if label[u] == label[v]))
     assert ricci.cut_modularity(flowed, cuts) == pytest.approx(want) and len(cuts) > 64
     assert len(rounds) <= 5
+
+
+def test_ricci_flow_of_a_hub(spark):
+    n = 100_000  # 10^10 rows if each edge met each neighbour
+    flowed = ricci.ricci_flow(Graph(spark.range(1, n + 1).selectExpr("0L AS src", "id AS dst")), 1)
+    assert tuple(flowed.agg(F.count("w"), F.min("w"), F.max("w")).first()) == pytest.approx((n, 1.0, 1.0))

@@ -149,3 +149,21 @@ def test_hub_scheduling(spark):
     assert fixpoint.delayed_starts(g, q, 1) == {0: 0, 1: 2, 2: 3}
     rows = fixpoint.parents(g, run_batch(g, [Query(0, "bfs", 6)])).collect()
     assert {r.vertex: r.parent for r in rows} == {5: 6, 4: 5, 0: 4, 1: 0, 2: 0, 3: 0}
+
+
+def test_batch_sswp_equals_its_sql_on_halves_nulls_and_no_rows(spark, tmp_path):
+    import duckdb
+
+    from weftgraph.plans import catalog
+
+    kind = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"
+    halves = [(1, 1, 10, 1, 2.5), (1, 2, 11, 1, 3.5), (1, 3, 12, 1, 4.6), (1, 4, 13, 1, 1.0)]
+    no_line = [(1, None, 10, 1, 9.0), (1, 1, 11, 1, 5.0), (1, 2, 12, 1, 7.0)]
+    no_part = [(1, 1, 10, 1, 5.0), (1, 2, None, 1, 6.0), (1, 2, 12, 1, 7.0), (2, 1, 10, 1, 3.0), (2, 2, 13, 1, 3.0)]
+    no_quantity = [(1, 1, 10, 1, 5.0), (1, 2, 11, 1, None), (1, 3, 12, 1, 7.0)]
+    for name, rows in {"halves": halves, "line": no_line, "part": no_part, "quantity": no_quantity, "empty": []}.items():
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        with duckdb.connect() as c:
+            c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/{name}/lineitem.parquet/*.parquet'")
+            want = set(c.execute(catalog.SQL["batch_sswp"]).fetchall())
+        assert {tuple(r) for r in catalog.QUERIES["batch_sswp"](spark, f"{tmp_path}/{name}").collect()} == want, name

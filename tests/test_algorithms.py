@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
-from weftgraph.operators import geo, linear, messages, ranking, ricci, sampling, structure, transforms
+from weftgraph.operators import forest, geo, linear, messages, ranking, ricci, sampling, structure, transforms
+from weftgraph.plans.scratch import materialize
 
 
 @pytest.fixture(scope="module")
@@ -322,6 +323,32 @@ def test_many_ricci_cuts_take_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 5
 
 
+def test_ricci_communities_by_one_forest(spark, monkeypatch):
+    rng = random.Random(7)
+    pairs = [(b, a) for a in range(60) for b in range(a) if rng.random() < (0.15 if a // 20 == b // 20 else 0.0)]
+    flowed = spark.createDataFrame([(u, v, rng.randint(1, 12) / 4) for u, v in pairs], "u long, v long, w double").repartition(3).cache()  # equal weights, parts without a link
+    graph = Graph(spark.createDataFrame([*pairs, (99, 99)], "src long, dst long"))
+    monkeypatch.setattr(ricci, "ricci_flow", lambda g, n: materialize(flowed))
+    monkeypatch.setattr(forest, "CHUNK", 20)
+    cuts = ricci.cut_offs(flowed)
+    assert flowed.agg(F.percentile("w", 0.999)).first()[0] in cuts and len(cuts) > 8
+    deg = ricci._weighted(flowed).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    held = spark.sparkContext.broadcast(forest.tree(flowed, deg))
+    rising = sorted(cuts)
+    gains = forest.cut_gains(flowed, held, rising, len(pairs))
+    assert list(np.cumsum(gains)) == pytest.approx(ricci.cut_modularity(flowed, rising))
+    for cut in rising:
+        both = Graph(flowed.where(F.col("w") < cut).selectExpr("u as src", "v as dst"), deg.select("id"))
+        assert set(forest.labelled(deg, held, cut).collect()) == set(structure.components(both).collect())
+    searched = []
+    monkeypatch.setattr(ricci, "connected_components", lambda e, run=ricci.connected_components: searched.append(1) or run(e))
+    labels, quality = ricci.ricci_communities(graph, 1)
+    assert not searched and (99, 99) in set(labels.collect())
+    monkeypatch.setattr(ricci, "FOREST_VERTICES", 0)
+    other, same = ricci.ricci_communities(graph, 1)
+    assert searched and quality == pytest.approx(same) and set(labels.collect()) == set(other.collect())
+
+
 def test_ricci_flow_of_a_hub(spark):
     n = 100_000  # 10^10 rows if each edge met each neighbour
     flowed = ricci.ricci_flow(Graph(spark.range(1, n + 1).selectExpr("0L AS src", "id AS dst")), 1)

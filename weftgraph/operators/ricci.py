@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
+from weftgraph.operators import forest
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.structure import components, triangle_rows, undirected
 from weftgraph.plans.scratch import materialize, release
 
+#: Up to so many vertices, one forest of the flow is held by a task and the driver; beyond, the cuts are searched by distributed components.
+FOREST_VERTICES = 2_000_000
+
 
 def _weighted(e: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("other"), "w").unionByName(e.select(F.col("v").alias("id"), F.col("u").alias("other"), "w"))
@@ -64,10 +70,14 @@ def ricci_flow(graph: Graph, iterations: int = 10) -> DataFrame:
 
 def cut_offs(flowed: DataFrame, step: float = 0.25) -> list[float]:
     """Weights to cut (u, v, w) at: every weight above the 99.9th percentile, rising, then from it in steps down to 1.1 times the least weight."""
-    low, top = flowed.agg(F.min("w"), F.percentile("w", 0.999)).first()
-    if top is None:
+    low, n = flowed.agg(F.min("w"), F.count("w")).first()
+    if not n:
         return []
-    above = sorted(r.w for r in flowed.where(F.col("w") > top).select("w").distinct().collect())
+    at = 0.999 * (n - 1)  # the percentile's place among the rising weights; what lies above is read in any case
+    last = [r.w for r in flowed.select("w").orderBy(F.desc("w")).limit(n - math.floor(at)).collect()][::-1]
+    one, two = last[0], last[math.ceil(at) - math.floor(at)]
+    top = one if one == two else (math.ceil(at) - at) * one + (at - math.floor(at)) * two
+    above = sorted({w for w in last if w > top})
     below = [top]
     while below[-1] - step >= 1.1 * low:
         below.append(below[-1] - step)
@@ -133,13 +143,37 @@ def cut_modularity(flowed: DataFrame, cuts: list[float], block: int = 3) -> list
     return found
 
 
+def _forest_communities(flowed: DataFrame, cuts: list[float], deg: DataFrame) -> tuple[DataFrame, float]:
+    """((id, component), modularity) of the first best cut, by one forest for all cuts."""
+    held = flowed.sparkSession.sparkContext.broadcast(forest.tree(flowed, deg))
+    order = sorted(range(len(cuts)), key=cuts.__getitem__)
+    found, total = [0.0] * len(cuts), 0.0
+    for k, gain in zip(order, forest.cut_gains(flowed, held, [float(cuts[k]) for k in order], flowed.count()), strict=True):
+        total += gain
+        found[k] = total
+    best = max(range(len(cuts)), key=found.__getitem__)
+    labels = materialize(forest.labelled(deg, held, float(cuts[best])))
+    held.destroy()
+    return labels, found[best]
+
+
 def ricci_communities(graph: Graph, iterations: int = 10, step: float = 0.25, max_cuts: int | None = None) -> tuple[DataFrame, float]:
     """((id, component), modularity) of the best of the cut_offs() of the flowed weights; max_cuts: the first so many only."""
-    flowed = materialize(ricci_flow(graph, iterations))
+    base = materialize(graph.edges.select("src", "dst").distinct())  # the graph's own plan runs once
+    graph = Graph(base, None if graph.implicit else graph.vertices)
+    flowed = ricci_flow(graph, iterations)
     cuts = cut_offs(flowed, step)[:max_cuts]
     if not cuts:
         return components(graph), float("-inf")
-    found = cut_modularity(flowed, cuts)
-    best = max(range(len(cuts)), key=found.__getitem__)
-    kept = flowed.where(F.col("w") < cuts[best]).select(F.col("u").alias("src"), F.col("v").alias("dst"))
-    return components(Graph(kept, graph.vertices)), found[best]
+    deg = materialize(_weighted(flowed).groupBy("id").agg(F.count(F.lit(1)).alias("k")))
+    if deg.count() <= FOREST_VERTICES:
+        labels, best = _forest_communities(flowed, cuts, deg)
+        whole = graph.vertices.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    else:
+        found = cut_modularity(flowed, cuts)
+        best = max(found)
+        kept = flowed.where(F.col("w") < cuts[found.index(best)]).select(F.col("u").alias("src"), F.col("v").alias("dst"))
+        labels, whole = None, components(Graph(kept, graph.vertices))
+    out = materialize(whole)
+    release(base, flowed, deg, labels)
+    return out, best
